@@ -1,4 +1,6 @@
-"""Queries over the test tables for every operator, with DuckDB SQL where SQL can express it."""
+"""All queries of the feature engine by name, with DuckDB SQL where SQL can express them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tessella.queries import analysis, modelling, transforms  # noqa: F401
+from tessella.queries.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
