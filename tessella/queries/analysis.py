@@ -71,7 +71,7 @@ def vectorise(spark, sf_dir):
 
 PMI = f"""{LONG}, pos AS (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag = 'R' AS pos FROM lineitem),
 tot AS (SELECT count(*) AS n, count(*) FILTER (pos) AS n_pos FROM pos),
-rows_ AS (SELECT l_orderkey, l_linenumber, l_returnflag = 'R' AS pos, unnest([{'family': 'status', 'feature': l_linestatus}, {'family': 'flag', 'feature': l_returnflag}, {'family': 'BIAS', 'feature': 'B'}]) AS f FROM lineitem),
+rows_ AS (SELECT l_orderkey, l_linenumber, l_returnflag = 'R' AS pos, unnest([{{'family': 'status', 'feature': l_linestatus}}, {{'family': 'flag', 'feature': l_returnflag}}, {{'family': 'BIAS', 'feature': 'B'}}]) AS f FROM lineitem),
 seen AS (SELECT family, feature, count(*) AS c, count(*) FILTER (pos) AS c_pos FROM (SELECT DISTINCT l_orderkey, l_linenumber, pos, f.family AS family, f.feature AS feature FROM rows_) GROUP BY 1, 2),
 pmi AS (SELECT family, feature, log2((c_pos / n_pos) / (c / n)) AS pmi FROM seen, tot WHERE c_pos >= 1)"""
 
