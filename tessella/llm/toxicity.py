@@ -11,7 +11,7 @@ Landmarks are units whose share of toxic documents is most in excess, a few of e
 units besides. Sentences of labelled
 documents inherit the document's label; mapped by the landmarks' inverse root kernel matrix, they train a linear
 squared-hinge SVM by Newton steps. A document's score is a logistic model, fitted on training documents, of its
-strongest sentence, its summed evidence, the number of units in evidence and its length.
+strongest sentence, its summed evidence, the numbers of distinct units in evidence at LEVELS, and its length.
 
 Bounds on what is learned from (documented parameters): about ``docs_a_class`` labelled documents of each class and
 ``sentences`` of their sentences; all are picked by hashes of ids.
@@ -46,9 +46,11 @@ DECAY = 0.7
 FLOOR = 0.35
 SHARP = 3
 LONG = 32
+LEVELS = (0.1, 0.25, 0.5)
+ALIKE = 8
 DOCS_A_CLASS = 1500
 SENTENCES = 30_000
-LANDMARKS = 96
+LANDMARKS = 160
 KNOWN = 300_000
 
 _SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)")
@@ -199,7 +201,7 @@ class Model:
         return self.__dict__ | {"known": {}, "landmarks": None}
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """Of every text: strongest sentence, summed evidence, number of units in evidence, their share, length."""
+        """Of every text: strongest sentence, summed evidence, numbers of distinct units above each of LEVELS, length."""
         if self.landmarks is None:
             self.landmarks = Landmarks(self.words)
         if len(self.known) > KNOWN:
@@ -208,15 +210,12 @@ class Model:
         new = list({u for doc in read for s in doc for u in s if u not in known})
         if new:
             known.update(zip(new, (self.landmarks.kernel(new) @ self.unit).tolist(), strict=True))
-        out = np.zeros((len(texts), 5))
+        out = np.zeros((len(texts), 3 + len(LEVELS)))
         for i, doc in enumerate(read):
-            scores = [[known[u] for u in set(s)] for s in doc]
+            strongest = max((sum(known[u] for u in set(s)) for s in doc), default=0.0)
             every = np.array([known[u] for u in {u for s in doc for u in s}])  # a unit that is said again adds nothing
-            up = every[every > 0]
-            n = len(every)
-            strongest = max((sum(s) for s in scores), default=0.0)
-            out[i] = max(0.0, strongest), np.log1p(max(0.0, up.sum())), np.log1p((up > 0.5).sum()), (up > 0.5).sum() / np.sqrt(n + 1.0), np.log1p(n)
-        out[:, 0] = np.log1p(out[:, 0])
+            up = [(every > level).sum() for level in LEVELS]
+            out[i] = np.log1p([max(0.0, strongest), max(0.0, every[every > 0].sum()), *up, len(every)])
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -243,7 +242,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield emit()
 
 
-def diverse(ranked: list[str], most: int, alike: int = 4, close: float = 0.5) -> list[str]:
+def diverse(ranked: list[str], most: int, alike: int = ALIKE, close: float = 0.5) -> list[str]:
     """The first ``most`` units in order of rank, without those that already have ``alike`` close ones before them."""
     near = Landmarks(ranked).kernel(ranked) >= close**SHARP if ranked else np.zeros((0, 0), bool)
     chosen: list[int] = []
