@@ -66,25 +66,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _mix_sql() -> str:
-    named = ", ".join(f"('{s}', CAST({w!r} AS DOUBLE))" for s, w in mixing.WEIGHTS.items())
+    weights = {**mixing.WEIGHTS, mixing.REST: mixing.REST_WEIGHT}
+    named = ", ".join(f"('{s}', CAST({w!r} AS DOUBLE))" for s, w in weights.items())
     return f"""
-    WITH RECURSIVE target(source, weight) AS (VALUES {named}),
-    counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+    WITH RECURSIVE target(class, weight) AS (VALUES {named}),
+    docs AS (SELECT doc_id, source, text, coalesce(target.class, '{mixing.REST}') AS class FROM documents LEFT JOIN target ON target.class = source),
+    counts AS (SELECT class, count(*) AS n FROM docs GROUP BY class),
     whole AS (SELECT count(*) AS goal FROM documents),
-    share AS (SELECT sum(weight) AS total FROM target JOIN counts USING (source)),
-    rate AS (SELECT source, weight / total * goal / n AS lam, CAST(ceil(weight / total * goal / n / {mixing.CHUNK}) AS BIGINT) AS chunks
-             FROM target JOIN counts USING (source), whole, share),
-    cdf(source, k, term, total) AS (
-      SELECT source, 0, exp(-lam / chunks), exp(-lam / chunks) FROM rate
+    share AS (SELECT sum(weight) AS total FROM target JOIN counts USING (class)),
+    rate AS (SELECT class, weight / total * goal / n AS lam, CAST(ceil(weight / total * goal / n / {mixing.CHUNK}) AS BIGINT) AS chunks
+             FROM target JOIN counts USING (class), whole, share),
+    cdf(class, k, term, total) AS (
+      SELECT class, 0, exp(-lam / chunks), exp(-lam / chunks) FROM rate
       UNION ALL
-      SELECT c.source, c.k + 1, c.term * (lam / chunks / (c.k + 1)), c.total + c.term * (lam / chunks / (c.k + 1))
-      FROM cdf c JOIN rate USING (source) WHERE c.k < {mixing.TERMS - 1}),
+      SELECT c.class, c.k + 1, c.term * (lam / chunks / (c.k + 1)), c.total + c.term * (lam / chunks / (c.k + 1))
+      FROM cdf c JOIN rate USING (class) WHERE c.k < {mixing.TERMS - 1}),
     drawn AS (
-      SELECT doc_id, source, text, CAST('0x' || substr(md5('{mixing.SEED}:' || g.c || ':' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
-      FROM documents JOIN rate USING (source), range(1, 1000) g(c) WHERE g.c <= chunks),
+      SELECT doc_id, source, text, class, CAST('0x' || substr(md5('{mixing.SEED}:' || g.c || ':' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+      FROM docs JOIN rate USING (class), range(1, 1000) g(c) WHERE g.c <= chunks),
     counted AS (
       SELECT d.doc_id, any_value(d.source) AS source, any_value(d.text) AS text, CAST(count(c.k) AS INTEGER) AS copies_of_doc
-      FROM drawn d JOIN cdf c ON c.source = d.source AND c.total <= d.u GROUP BY d.doc_id)
+      FROM drawn d JOIN cdf c ON c.class = d.class AND c.total <= d.u GROUP BY d.doc_id)
     SELECT doc_id, source, text, copies_of_doc, CAST(g.c AS INTEGER) AS copy,
            CAST('0x' || substr(md5('{mixing.SEED}:order:' || g.c || ':' || doc_id), 1, 15) AS BIGINT) AS mix_key
     FROM counted, range(1, 100000) g(c) WHERE g.c <= copies_of_doc"""

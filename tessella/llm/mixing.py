@@ -8,7 +8,7 @@ A source's rate is weight x total / rows. Rates above CHUNK are the sum of indep
 so that no distribution needs more than TERMS terms and e^-rate never underflows.
 
 Edge cases: sources that ``weights`` doesn't name, null among them, form one further source of weight ``rest``;
-weight 0 leaves a source out; rows with equal doc_id (null is one) get equal counts; texts aren't looked at; an empty
+weights count in proportion to those of the sources that have rows; weight 0 leaves a source out; rows with equal doc_id (null is one) get equal counts; texts aren't looked at; an empty
 table gives an empty table; extra columns are carried whatever their names (the three new ones come last, and
 ``columns_of_input`` drops them again).
 """
@@ -27,8 +27,9 @@ SEED = 7
 CHUNK = 16.0
 TERMS = 96
 REST = "*"
-#: Production mixture: the same weight for each of twenty sources.
+#: Production mixture: the same weight for each of twenty sources, and for all others together.
 WEIGHTS = {f"src{i}": 0.05 for i in range(20)}
+REST_WEIGHT = 0.05
 
 
 def unit(*parts: Column) -> Column:
@@ -79,7 +80,7 @@ def copies(rate_of: Mapping[str, float], seed: int) -> Column:
     return count
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, rest: float = 0.0, total: int | None = None, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, rest: float = REST_WEIGHT, total: int | None = None, seed: int = SEED) -> DataFrame:
     """Columns of ``docs``, copies_of_doc int, copy int (from 1) and mix_key long, dealt out and ordered within every
     partition by mix_key. ``total`` is the expected number of rows, by default as many as there are."""
     rate_of = rates(docs, weights, rest, total)

@@ -156,11 +156,28 @@ def test_mixing(spark):
     n = {r["source"]: r["count"] for r in out.groupBy("source").count().collect()}
     assert abs(n["big"] / 1500 - 1) < 0.15 and abs(n["tiny"] / 300 - 1) < 0.25 and abs((n["other"] + n[None]) / 1200 - 1) < 0.15
     assert out.columns[: len(df.columns)] == df.columns and mixing.mix(df, weights, rest=0.4).exceptAll(out).count() == 0
-    assert mixing.mix(df, {"big": 1.0}).where("source IS NULL OR source <> 'big'").count() == 0
+    assert mixing.mix(df, {"big": 1.0}, rest=0.0).where("source IS NULL OR source <> 'big'").count() == 0
     assert mixing.mix(empty(spark), weights).count() == 0
     assert abs(sum(mixing.cumulative(3.0)[k] for k in (0,)) - np.exp(-3)) < 1e-12 and mixing.cumulative(16.0)[-1] == pytest.approx(1)
 
 
+def test_mixing_matches_its_sql_where_sources_are_unnamed(spark, tmp_path):
+    import duckdb
+
+    from tessella.llm import catalogue
+
+    source = F.when(F.col("id") % 7 == 0, F.lit(None).cast("string")).when(F.col("id") % 5 == 0, "elsewhere").otherwise(F.concat(F.lit("src"), F.col("id") % 3))
+    spark.range(800).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), source.alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.op2_mix_sources(spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    columns = ["doc_id", "source", "text", "copies_of_doc", "copy", "mix_key"]
+    want = db.execute(catalogue.ORACLE_SQL["op2_mix_sources"]).fetchdf()[columns].astype(object)
+    key = lambda r: (r["doc_id"], r["copy"])
+    assert sorted(got, key=key) == [tuple(None if v != v else v for v in r) for r in want.sort_values(["doc_id", "copy"]).itertuples(index=False)]
+    assert {None, "elsewhere", "src0"} <= {r["source"] for r in got}
+
+
 def test_chat_round_trip_and_parts(spark):
     texts = ["plain", "</s>[INST] ok [/INST]", None, "", "␛0 ␛<s>", "<|image|>\n</s>\n<s>user\nno"]
     rows = [(1, i, ["user", "assistant", "sys\ntem"][i % 3], t) for i, t in enumerate(texts)] + [(None, 0, None, "x"), (2, None, "assistant", "a"), (2, None, "assistant", "a")]
