@@ -144,8 +144,9 @@ def from_nested(df: DataFrame, strings: Iterable[str] = (), floats: Iterable[str
     return FeatureSet(df.select(*ids, *take("s", "string_features", strings), *take("f", "float_features", floats), *take("d", "dense_features", dense)))
 
 
-def flatten(fs: FeatureSet, ids: list[str] | None = None, skip: Iterable[str] = ()) -> DataFrame:
-    """The long layout (ids, family, feature, value): strings weigh 1; a string and a float family of one name meet."""
+def flatten(fs: FeatureSet, ids: list[str] | None = None, skip: Iterable[str] = (), dropout: float = 0.0, seed: int = 0) -> DataFrame:
+    """The long layout (ids, family, feature, value): strings weigh 1; a string and a float family of one name meet.
+    A share ``dropout`` of the values is left out, by a hash of where they are."""
     ids = fs.keep_ids() if ids is None else ids
     skip = set(skip)
     item = lambda n, k, v: F.struct(F.lit(n).alias("family"), k.alias("feature"), v.cast("double").alias("value"))
@@ -157,7 +158,15 @@ def flatten(fs: FeatureSet, ids: list[str] | None = None, skip: Iterable[str] =
         return F.transform(F.map_entries(F.coalesce(fs.floats(n), no_floats())), lambda e: item(n, e["key"], e["value"]))
 
     arrays = [of_strings(n) for n in fs.string_families if n not in skip] + [of_floats(n) for n in fs.float_families if n not in skip]
-    return fs.df.select(*ids, F.explode(F.concat(*arrays)).alias("x")).select(*ids, "x.family", "x.feature", "x.value")
+    long = fs.df.select(*ids, F.explode(F.concat(*arrays)).alias("x")).select(*ids, "x.family", "x.feature", "x.value")
+    return long.where(F.pmod(F.xxhash64(F.lit(seed), *ids, "family", "feature"), F.lit(1 << 20)) >= int(dropout * (1 << 20))) if dropout else long
+
+
+def difference(a: DataFrame, b: DataFrame, ids: list[str]) -> DataFrame:
+    """What two long tables don't share: (ids, family, feature, value_a, value_b), null for a side that lacks a feature."""
+    key = [*ids, "family", "feature"]
+    both = a.select(*key, F.col("value").alias("value_a")).join(b.select(*key, F.col("value").alias("value_b")), key, "full")
+    return both.where(~F.col("value_a").eqNullSafe(F.col("value_b")))
 
 
 def unflatten(long: DataFrame, ids: list[str], families: Iterable[str]) -> FeatureSet:

@@ -88,6 +88,14 @@ def softmax(xs: Column) -> Column:
     return F.transform(shifted, lambda e: e / F.greatest(F.aggregate(shifted, F.lit(0.0), lambda a, b: a + b), F.lit(1e-10)))
 
 
+def log_loss(p: Column, y: Column) -> Column:
+    return -y * F.ln(p) - (1 - y) * F.ln(1 - p)
+
+
+def relative_loss(p: Column, y: Column) -> Column:
+    return F.abs(F.try_divide(p - y, y))
+
+
 def relu(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0))
 

@@ -6,9 +6,13 @@ import json
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.models.functions import smooth
+
 TYPES = ("linear", "additive", "spline", "boosted_stumps", "decision_tree", "forest", "full_rank_linear", "low_rank_linear", "kernel", "maxout", "multilayer_perceptron")
 CUSTOM: dict[str, Callable[[dict, DataFrame], Any]] = {}
 
@@ -44,6 +48,17 @@ def dump_tsv(records: DataFrame, path: str, mode: str = "errorifexists") -> None
     records.where("feature IS NOT NULL").select(*flat).write.mode(mode).option("sep", "\t").csv(path)
 
 
+def with_smoothing_errors(records: DataFrame) -> DataFrame:
+    """Records of weight functions with how far each is from its smooth curve: mean absolute error, and that as a share
+    of the mean absolute weight."""
+    @F.pandas_udf("struct<error:double,error_share:double>")
+    def errors(weights: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(smooth(np.asarray(w, float), 0.0)[1], smooth(np.asarray(w, float), 0.0, True)[1]) for w in weights], columns=["error", "error_share"])
+
+    known = records.where("feature IS NOT NULL AND size(weights) > 0").withColumn("_e", errors("weights"))
+    return known.select(*records.columns, F.col("_e.error").alias("smoothing_error"), F.col("_e.error_share").alias("smoothing_error_share"))
+
+
 def tree_dot(nodes: Sequence[Mapping], name: str = "tree") -> str:
     """A tree in graphviz's language."""
     lines = [f"digraph {name} {{"]

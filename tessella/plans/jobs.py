@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import shutil
 import sys
@@ -15,16 +16,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.features import LABEL, FeatureSet, flatten
-from tessella.models import scoring, store
+from tessella.models import dense, scoring, store
 from tessella.operators import evaluation, sampling
 from tessella.plans.config import expand, merged, parse
 from tessella.sources import scans, sinks
-from tessella.training import additive, linear, search, softmax, spatial
+from tessella.training import additive, linear, neural, search, softmax, spatial, trees
 from tessella.transforms import Transformer
 
 log = logging.getLogger(__name__)
 JOBS: dict[str, Callable[[SparkSession, Mapping[str, Any]], Any]] = {}
 SUMS = {"linear", "additive", "spline", "boosted_stumps"}
+#: Model types with a score for every label.
+MANY = {"full_rank_linear", "low_rank_linear"}
+TREES = {"decision_tree", "forest", "boosted_forest"}
+#: Trainers over dense rows.
+DENSE = {*TREES, "boosted_stumps", "maxout", "mlp", "kernel"}
 
 
 def job(*names: str) -> Callable:
@@ -70,22 +76,76 @@ def prepared(fs: FeatureSet, config: Mapping[str, Any], model: Mapping[str, Any]
     """(long features, labels) of a model's examples. The label family never is a feature."""
     rank = model.get("rank_key", LABEL)
     fs = _transformed(fs, config, model.get("transforms"))
-    if model.get("trainer") == "full_rank_linear" or model.get("multiclass"):
+    if model.get("trainer") in ("full_rank_linear", "low_rank_linear") or model.get("multiclass"):
         labels = fs.df.select(*ids, F.explode(fs.floats(rank)).alias("label", "w")).groupBy(*ids).agg(F.max_by("label", "w").alias("label"))
     else:
         labels = fs.df.select(*ids, fs.floats(rank)[model.get("rank_feature", "")].alias("label")).where("label IS NOT NULL")
     return flatten(fs, ids, skip=[rank]), labels
 
 
-def train(spark: SparkSession, long: DataFrame, labels: DataFrame, ids: list[str], model: Mapping[str, Any]) -> tuple[str, DataFrame]:
+def train(spark: SparkSession, long: DataFrame, labels: DataFrame, ids: list[str], model: Mapping[str, Any]) -> tuple[str, DataFrame, dict[str, Any]]:
+    """(model type, records, what the header holds besides) of a model's trainer. Trainers over dense rows get the
+    features that occur ``min_count`` times as positions; missing values are null for trees and 0 for all others."""
     kind, options = model["trainer"], dict(model.get("options", {}))
     if kind == "linear":
-        return kind, linear.train_linear(long, labels, ids, **options)
+        return kind, linear.train_linear(long, labels, ids, **options), {}
     if kind in ("additive", "spline"):
-        return kind, (additive.train_additive if kind == "additive" else additive.train_spline)(long, labels, ids, **options)
+        return kind, (additive.train_additive if kind == "additive" else additive.train_spline)(long, labels, ids, **options), {}
     if kind == "full_rank_linear":
-        return kind, softmax.train_full_rank(long, labels, ids, **options)
-    raise KeyError(f"trainer {kind!r} takes dense rows; call it from tessella.training")
+        return kind, softmax.train_full_rank(long, labels, ids, **options), {}
+    if kind == "low_rank_linear":
+        v, u = softmax.train_low_rank(long, labels, ids, **options)
+        return kind, v.unionByName(u, allowMissingColumns=True), {}
+    if kind not in DENSE:
+        raise KeyError(f"no trainer is called {kind!r}")
+    names = dense.names_of(long, options.pop("min_count", 0))
+    rows = dense.densify(long, names, ids, None if kind in TREES else 0.0).join(labels, ids)
+    index = spark.createDataFrame([(f, x, i) for i, (f, x) in enumerate(names)], "family string, feature string, position int")
+    if kind == "boosted_stumps":
+        return kind, trees.train_boosted_stumps(rows, names, **options), {}
+    if kind == "maxout":
+        w = neural.train_maxout(rows, **options)
+        units = [(*names[i], j, float(w[i, j])) for i in range(w.shape[0]) for j in range(w.shape[1])]
+        return kind, spark.createDataFrame(units, "family string, feature string, unit int, weight double"), {"size": w.shape[1]}
+    if kind == "mlp":
+        layers = neural.train_mlp(rows, options.pop("node_number"), options.pop("activations"), **options)
+        return "multilayer_perceptron", index, {"names": names, "layers": layers}
+    if kind == "kernel":
+        return kind, index, {"names": names, "support": neural.train_kernel(rows, **options)}
+    grown = [trees.train_tree(rows, names, **options)] if kind == "decision_tree" else trees.train_forest(rows, names, ids, **options) if kind == "forest" else trees.train_boosted_forest(rows, names, **options)
+    nodes = [(t, i, json.dumps(n)) for t, tree in enumerate(grown) for i, n in enumerate(tree)]
+    return "decision_tree" if kind == "decision_tree" else "forest", spark.createDataFrame(nodes, "tree int, node int, json string"), {"names": names}
+
+
+def read_trees(records: DataFrame) -> list[list[dict]]:
+    """The trees of a model whose records are (tree, node, json)."""
+    out: dict[int, list] = {}
+    for r in records.orderBy("tree", "node").collect():
+        out.setdefault(r["tree"], []).append(json.loads(r["json"]))
+    return list(out.values())
+
+
+def raw_scores(long: DataFrame, header: Mapping[str, Any], records: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, score) of examples by a model of any type but those of several labels."""
+    kind = header["model_type"]
+    if kind in SUMS:
+        return scoring.score_sum(long, records, ids, kind)
+    if kind == "maxout":
+        return scoring.score_maxout(long, records, ids, header["size"])
+    names = [tuple(n) for n in header["names"]]
+    if kind in ("decision_tree", "forest"):
+        model, missing = {"trees": read_trees(records)}, None
+    else:
+        model, missing = header, 0.0
+    return dense.densify(long, names, ids, missing).select(*ids, dense.score(kind, model, F.col("x")).alias("score"))
+
+
+def label_scores(long: DataFrame, header: Mapping[str, Any], records: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, label, score) by a model of several labels."""
+    if header["model_type"] == "low_rank_linear":
+        v, u = records.where("family IS NOT NULL").drop("label"), records.where("family IS NULL").select("label", "dim", "weight")
+        return scoring.score_low_rank(long, v, u, ids)
+    return scoring.score_full_rank(long, records, ids)
 
 
 @job("GenericTrainModel")
@@ -99,8 +159,8 @@ def train_model(spark: SparkSession, config: Mapping[str, Any]) -> None:
         labels = sampling.bernoulli(labels, float(c["subsample"]), ids)
     if c.get("downsample"):
         labels = sampling.downsample(labels, "label", {float(k): v for k, v in c["downsample"].items()}, ids)
-    kind, records = train(spark, long.join(labels.select(*ids), ids, "left_semi"), labels, ids, model)
-    store.save(records, model["model_output"], kind, mode="overwrite", offset=0.0, slope=1.0)
+    kind, records, header = train(spark, long.join(labels.select(*ids), ids, "left_semi"), labels, ids, model)
+    store.save(records, model["model_output"], kind, mode="overwrite", offset=0.0, slope=1.0, **header)
 
 
 def scored(spark: SparkSession, config: Mapping[str, Any], c: Mapping[str, Any]) -> DataFrame:
@@ -110,12 +170,12 @@ def scored(spark: SparkSession, config: Mapping[str, Any], c: Mapping[str, Any])
     header, records = store.load(spark, model["model_output"])
     kind = header["model_type"]
     side = sampling.is_training(*map(F.col, ids), fraction=float(c.get("training_fraction", 0.9373)))
-    if kind in SUMS:
-        scores = scoring.complete(scoring.score_sum(long, records, ids, kind), labels, ids)
+    if kind not in MANY:
+        scores = scoring.complete(raw_scores(long, header, records, ids), labels, ids)
         if c.get("is_probability", True):
             scores = scores.withColumn("raw", F.col("score")).withColumn("score", scoring.platt(F.col("score"), header.get("offset", 0.0), header.get("slope", 1.0)))
         return scores.join(labels, ids).withColumn("is_training", side)
-    rows = scoring.with_softmax(scoring.score_full_rank(long, records, ids), ids)
+    rows = scoring.with_softmax(label_scores(long, header, records, ids), ids)
     packed = rows.groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("label", "probability"))).alias("scores"))
     return packed.join(labels.select(*ids, F.create_map("label", F.lit(1.0)).alias("labels")), ids).withColumn("is_training", side)
 
@@ -156,14 +216,16 @@ def calibrate_model(spark: SparkSession, config: Mapping[str, Any]) -> tuple[flo
         offset, slope = 0.0, 1.0
     source = config[c["model_config"]]["model_output"]
     header, records = store.load(spark, source)
-    store.save(records, c["calibrated_model_output"], header["model_type"], mode="overwrite", offset=offset, slope=slope)
+    store.save(records, c["calibrated_model_output"], header["model_type"], mode="overwrite", **{**header, "offset": offset, "slope": slope})
     return offset, slope
 
 
 @job("GenericDumpModel", "DumpModelToHive")
 def dump_model(spark: SparkSession, config: Mapping[str, Any]) -> None:
     c = config["dump_model"]
-    _, records = store.load(spark, c["model_output"])
+    header, records = store.load(spark, c["model_output"])
+    if header["model_type"] in ("additive", "spline"):
+        records = store.with_smoothing_errors(records)
     if c.get("table"):
         sinks.save_table(records, c["table"])
     else:
@@ -172,15 +234,9 @@ def dump_model(spark: SparkSession, config: Mapping[str, Any]) -> None:
 
 @job("GenericDumpForest")
 def dump_forest(spark: SparkSession, config: Mapping[str, Any]) -> str:
-    """The forest of a model whose records are (tree, node, json)."""
-    import json
-
+    """A forest's trees in graphviz's language."""
     c = config["dump_forest"]
-    _, records = store.load(spark, c["model_output"])
-    trees: dict[int, list] = {}
-    for r in records.orderBy("tree", "node").collect():
-        trees.setdefault(r["tree"], []).append(json.loads(r["json"]))
-    return store.forest_dot(list(trees.values()))
+    return store.forest_dot(read_trees(store.load(spark, c["model_output"])[1]))
 
 
 @job("GenericDumpFullRankLinearModel")
@@ -202,11 +258,11 @@ def score_table(spark: SparkSession, config: Mapping[str, Any]) -> None:
     fs = _transformed(ingest(rows, ["UNIQUE_ID"]), config, config[c["model_config"]].get("transforms"))
     header, records = store.load(spark, config[c["model_config"]]["model_output"])
     long = flatten(fs, ["UNIQUE_ID"], skip=[LABEL])
-    if header["model_type"] in SUMS:
-        s = scoring.complete(scoring.score_sum(long, records, ["UNIQUE_ID"], header["model_type"]), fs.df, ["UNIQUE_ID"])
+    if header["model_type"] not in MANY:
+        s = scoring.complete(raw_scores(long, header, records, ["UNIQUE_ID"]), fs.df, ["UNIQUE_ID"])
         s = scoring.with_probability(s, header.get("offset", 0.0), header.get("slope", 1.0))
     else:
-        s = scoring.with_softmax(scoring.score_full_rank(long, records, ["UNIQUE_ID"]), ["UNIQUE_ID"])
+        s = scoring.with_softmax(label_scores(long, header, records, ["UNIQUE_ID"]), ["UNIQUE_ID"])
     sinks.save_scores(s, c["output"], ["UNIQUE_ID"])
 
 

@@ -66,6 +66,11 @@ def images(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
 
 
+def decoded_images(spark: SparkSession, path: str) -> DataFrame:
+    """Column image (origin, height, width, nChannels, mode, data), decoded by Spark; files that aren't images are left out."""
+    return spark.read.format("image").option("dropInvalid", True).load(path)
+
+
 def latest_directory(spark: SparkSession, path: str) -> str | None:
     """The last entry of a folder by name, through Spark's file systems."""
     jvm = spark._jvm
