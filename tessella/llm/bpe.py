@@ -5,8 +5,9 @@ known yet are laid end to end in one flat array of symbols; in every round each
 by binary search over the sorted pair keys, every word merges its lowest-ranked pair (all its occurrences from left to
 right, as the tokenizers library does one by one), and the array is compacted; words without a mergeable pair drop out.
 
-Merges of a pair that overlap ("aaa") are resolved from the left. The ids of known words are kept in a table of at
-most KNOWN words a Python worker; past that it starts anew.
+Merges of a pair that overlap ("aaa") are resolved from the left. The ids of known words of up to LONG characters are
+kept in a table of at most KNOWN words a Python worker; past that it starts anew. Longer ones are forgotten with their
+batch, and words are merged together up to AT_ONCE characters, so memory doesn't grow with the text.
 
 Edge cases: null text counts as empty and gives no token; the special token's string in a text is the special token,
 as the library treats it; repeated rows give equal results; very long words merge in the same rounds; an empty table
@@ -28,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KNOWN = 400_000
+LONG = 128
+AT_ONCE = 1 << 21
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 NONE = np.int64(1) << 62
@@ -113,10 +116,19 @@ class ByteBpe:
             self.known.clear()
         known = self.known
         new = list({w for p in pieces for _, words in p if words for w in words if w not in known})
-        for i in range(0, len(new), 1 << 16):
-            part = new[i : i + (1 << 16)]
-            known.update(zip(part, self.merge_words([w.encode("utf-8") for w in part]), strict=True))
-        return [list(chain.from_iterable((self.special[s],) if s is not None else chain.from_iterable(map(known.__getitem__, words)) for s, words in p)) for p in pieces]
+        part, size = [], 0
+        for w in chain(new, (None,)):
+            if part and (w is None or size + len(w) > AT_ONCE):
+                known.update(zip(part, self.merge_words([p.encode("utf-8") for p in part]), strict=True))
+                part, size = [], 0
+            if w is not None:
+                part.append(w)
+                size += len(w)
+        out = [list(chain.from_iterable((self.special[s],) if s is not None else chain.from_iterable(map(known.__getitem__, words)) for s, words in p)) for p in pieces]
+        for w in new:
+            if len(w) > LONG:
+                del known[w]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
