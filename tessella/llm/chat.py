@@ -9,9 +9,13 @@ audio: 50 a second; document: 256 a page). The loss mask is the spans of assista
 Control strings inside texts and roles are escaped reversibly: ESC becomes ESC 0, and the k-th of CONTROLS becomes ESC
 and the k-th letter. No control string then occurs inside a turn, so a formatted string can be read back exactly.
 
+The string is written as pieces, one a turn, with places counted from the conversation's start. Rows are sorted by
+conversation and turn, which spills, and pass by in Arrow batches: a task holds a batch and two counters however many
+turns a conversation has. ``whole`` joins the pieces of conversations of ordinary size.
+
 Edge cases: null text, role or part counts as empty; rows are ordered by turn (null first), ties by role and text;
 repeated rows are turns of their own; rows with null conv_id are one conversation; an empty table gives an empty
-table; one conversation is one output row and so has to fit in a task; other columns are ignored.
+table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -102,75 +106,96 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 
 
 def format_turns(turns: list[dict]) -> Formatted:
+    """A conversation that is at hand as a list of turns."""
     out = Formatted()
     for number, t in enumerate(turns):
         out.turn(number, t["role"], t.get("parts") if t.get("parts") is not None else [{"text": t.get("text")}])
     return out
 
 
-OUT = "conv_id long, formatted string, loss array<struct<start:long,end:long>>, attachments array<struct<kind:string,ref:string,turn:int,at:long,tokens:long>>, n_tokens_expanded long"
-_ARROW = pa.schema(
-    {
-        "conv_id": pa.int64(),
-        "formatted": pa.string(),
-        "loss": pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()})),
-        "attachments": pa.list_(pa.struct({"kind": pa.string(), "ref": pa.string(), "turn": pa.int32(), "at": pa.int64(), "tokens": pa.int64()})),
-        "n_tokens_expanded": pa.int64(),
-    }
-)
+SPAN = pa.struct({"start": pa.int64(), "end": pa.int64()})
+ATTACHMENT = pa.struct({"kind": pa.string(), "ref": pa.string(), "turn": pa.int32(), "at": pa.int64(), "tokens": pa.int64()})
+_PIECE = pa.schema({"conv_id": pa.int64(), "seq": pa.int64(), "start": pa.int64(), "formatted": pa.string(), "loss": pa.list_(SPAN), "attachments": pa.list_(ATTACHMENT), "n_tokens_expanded": pa.int64()})
+OUT = "conv_id long, seq long, start long, formatted string, loss array<struct<start:long,end:long>>, attachments array<struct<kind:string,ref:string,turn:int,at:long,tokens:long>>, n_tokens_expanded long"
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of rows (conv_id, turn, role, text, parts) that come sorted by conversation and turn."""
+    conv, seq, start, first = None, 0, 0, True
     for batch in batches:
-        for i in range(0, batch.num_rows, 64):
-            part = batch.slice(i, 64)
+        for i in range(0, batch.num_rows, 256):
             rows = []
-            for conv, turns in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                f = format_turns(turns)
+            for r in batch.slice(i, 256).to_pylist():
+                if first or r["conv_id"] != conv:
+                    conv, seq, start, first = r["conv_id"], 0, 0, False
+                f = Formatted(size=start)
+                f.turn(seq, r["role"], r["parts"] if r["parts"] is not None else [{"text": r["text"]}])
                 rows.append(
                     {
                         "conv_id": conv,
+                        "seq": seq,
+                        "start": start,
                         "formatted": f.text,
                         "loss": [{"start": a, "end": b} for a, b in f.loss],
                         "attachments": [dict(zip(("kind", "ref", "turn", "at", "tokens"), a, strict=True)) for a in f.attachments],
                         "n_tokens_expanded": sum(a[4] for a in f.attachments),
                     }
                 )
-            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                seq, start = seq + 1, f.size
+            yield pa.RecordBatch.from_pylist(rows, _PIECE)
 
 
 def format_chat(rows: DataFrame, parts: str | None = None) -> DataFrame:
-    """One row per conv_id of ``rows`` (conv_id, turn, role, text): formatted string, loss spans, attachments and the
-    tokens that they expand to. ``parts`` names an array column of PART structs to use instead of text where not null."""
-    content = F.col(parts).cast(f"array<{PART}>") if parts else F.lit(None).cast(f"array<{PART}>")
-    turn = F.struct(F.col("turn").alias("turn"), "role", "text", content.alias("parts"))
-    grouped = rows.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    return grouped.mapInArrow(_format, OUT)
+    """A piece for every row of ``rows`` (conv_id, turn, role, text): its number and place in the conversation, formatted
+    string, loss spans, attachments and the tokens that they expand to. ``parts`` names an array column of PART structs to
+    use instead of text where not null. A conversation's pieces are in one partition, in order."""
+    content = (F.col(parts) if parts else F.lit(None)).cast(f"array<{PART}>")
+    order = ["conv_id", "turn", "role", "text", "parts"]
+    turns = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text", content.alias("parts"))
+    return turns.repartition("conv_id").sortWithinPartitions(*order).mapInArrow(_format, OUT)
+
+
+def whole(pieces: DataFrame) -> DataFrame:
+    """One row per conversation out of its pieces; for conversations that fit in a task."""
+    of = F.sort_array(F.collect_list(F.struct("seq", "formatted", "loss", "attachments", "n_tokens_expanded")))
+    joined = pieces.groupBy("conv_id").agg(of.alias("p"))
+    return joined.select(
+        "conv_id", F.array_join("p.formatted", "").alias("formatted"), F.flatten("p.loss").alias("loss"), F.flatten("p.attachments").alias("attachments"),
+        F.aggregate("p.n_tokens_expanded", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_tokens_expanded"),
+    )
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([(n, pa.int64() if k == "long" else pa.string()) for n, k in (c.split(" ") for c in DIGESTS.split(", "))])
+    done, conv, n_turns, loss_chars, size, turns, loss = [], None, 0, 0, 0, None, None
+    close = lambda: done.append((conv, n_turns, turns.hexdigest(), loss_chars, loss.hexdigest(), size))
+    emit = lambda: pa.RecordBatch.from_pylist([dict(zip(schema.names, d, strict=True)) for d in done], schema)
     for batch in batches:
-        rows = []
         for r in batch.to_pylist():
-            turns = read_back(r["formatted"])
-            loss = "".join(unescape(r["formatted"][s["start"] : s["end"]]) for s in r["loss"])
-            rows.append(
-                {
-                    "conv_id": r["conv_id"],
-                    "n_turns": len(turns),
-                    "turns_sha256": hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode("utf-8")).hexdigest(),
-                    "loss_chars": len(loss),
-                    "loss_sha256": hashlib.sha256(loss.encode("utf-8")).hexdigest(),
-                    "formatted_chars": len(r["formatted"]),
-                }
-            )
-        schema = pa.schema([(n, pa.int64() if k == "long" else pa.string()) for n, k in (c.split(" ") for c in DIGESTS.split(", "))])
-        yield pa.RecordBatch.from_pylist(rows, schema)
-
-
-def digests(formatted: DataFrame) -> DataFrame:
-    """What can be read back from ``format_chat``'s output."""
-    return formatted.select("conv_id", "formatted", "loss").mapInArrow(_digest, DIGESTS)
+            if turns is None or r["conv_id"] != conv:
+                if turns is not None:
+                    close()
+                conv, n_turns, loss_chars, size, turns, loss = r["conv_id"], 0, 0, 0, hashlib.sha256(), hashlib.sha256()
+            for role, text in read_back(r["formatted"]):
+                turns.update(f"{role}\n{text}\n".encode("utf-8"))
+                n_turns += 1
+            for span in r["loss"]:
+                text = unescape(r["formatted"][span["start"] - r["start"] : span["end"] - r["start"]])
+                loss.update(text.encode("utf-8"))
+                loss_chars += len(text)
+            size += len(r["formatted"])
+        yield emit()
+        done.clear()
+    if turns is not None:
+        close()
+        yield emit()
+
+
+def digests(pieces: DataFrame, in_order: bool = False) -> DataFrame:
+    """What can be read back from ``format_chat``'s output; ``in_order`` if it comes straight from there, not from disk."""
+    named = pieces.select("conv_id", "seq", "start", "formatted", "loss")
+    ordered = named if in_order else named.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
+    return ordered.mapInArrow(_digest, DIGESTS)

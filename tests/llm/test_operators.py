@@ -187,7 +187,13 @@ def test_chat_round_trip_and_parts(spark):
     loss = "".join(t or "" for _, _, r, t in rows[:6] if r == "assistant")
     assert got[1]["n_turns"] == 6 and got[1]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
     assert got[1]["loss_chars"] == len(loss) and got[1]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and got[2]["loss_chars"] == 2 and got[None]["n_turns"] == 1
-    assert chat.format_chat(df.where("false")).count() == 0
+    pieces = chat.format_chat(df)
+    assert pieces.count() == 9 and chat.digests(pieces, in_order=True).exceptAll(chat.digests(pieces)).count() == 0
+    one = {r["conv_id"]: r for r in chat.whole(pieces).collect()}
+    listed = chat.format_turns([{"role": r, "text": t} for _, _, r, t in rows[:6]])
+    assert one[1]["formatted"] == listed.text and [tuple(x) for x in one[1]["loss"]] == listed.loss and len(one) == 3
+    assert chat.read_back(one[1]["formatted"]) == [(r, t or "") for _, _, r, t in rows[:6]]
+    assert chat.format_chat(df.where("false")).count() == 0 and chat.digests(chat.format_chat(df.where("false"))).count() == 0
     parts = spark.createDataFrame([(1, 0, "user", None, [{"type": "text", "text": "see "}, {"type": "image", "ref": "a.png", "width": 28, "height": 15}, {"type": "audio", "ref": "b.wav", "seconds": 1.5}, {"type": "document", "ref": "c.pdf", "pages": 2}])], f"conv_id long, turn long, role string, text string, content array<{chat.PART}>")
     r = chat.format_chat(parts, "content").first()
     assert r["formatted"] == "<s>user\nsee <|image|><|audio|><|document|></s>\n" and r["n_tokens_expanded"] == 4 + 75 + 512
