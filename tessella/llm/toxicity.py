@@ -287,13 +287,13 @@ def fit(docs: DataFrame, labels: DataFrame, docs_a_class: int = DOCS_A_CLASS, n_
                     continue
                 found = [sorted(set(s)) for s in found]
                 rows = marks.kernel([u for s in found for u in s])
-                sums = np.add.reduceat(rows, np.cumsum([0] + [len(s) for s in found[:-1]]), axis=0).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(found), pa.int32()), pa.array(list(sums), pa.list_(pa.float64()))], ["toxic", "x"])
+                sums = np.add.reduceat(rows, np.cumsum([0] + [len(s) for s in found[:-1]]), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(found), pa.int32()), pa.array([v.tobytes() for v in sums], pa.binary())], ["toxic", "x"])
 
-    mapped = checkpointed(sample.mapInArrow(per_sentence, "toxic int, x array<double>"))
+    mapped = checkpointed(sample.mapInArrow(per_sentence, "toxic int, x binary"))
     share = min(1.0, n_sentences / max(1, mapped.count()))
     rows = mapped.where(F.pmod(F.xxhash64("x", F.monotonically_increasing_id()), F.lit(1 << 20)) < share * (1 << 20)).toPandas()
-    x, y = np.stack(rows.x.to_list()), np.where(rows.toxic == 1, 1.0, -1.0)
+    x, y = np.frombuffer(b"".join(rows.x), np.float32).reshape(-1, len(words)), np.where(rows.toxic == 1, 1.0, -1.0)
     w = train_svm(x @ root, y)
     model = Model(words, (root @ w[:-1]).astype(np.float32), float(w[-1]))
 
