@@ -179,7 +179,7 @@ def _near_hint(tokens: list[str], reach: int = 40) -> list[str]:
     return [t for t, k in zip(tokens, keep, strict=True) if k]
 
 
-def train(ordinary: list[str], seed: int = 11, a_family: int = 120) -> Model:
+def train(ordinary: list[str], seed: int = 11, a_family: int = 240) -> Model:
     """Fit on varied templates and ordinary paragraphs; a fifth is held out for the temperature."""
     rng = random.Random(seed)
     common = sorted({w for t in TEMPLATES.values() for x in t for w in words(x)})
@@ -190,7 +190,7 @@ def train(ordinary: list[str], seed: int = 11, a_family: int = 120) -> Model:
         rows += [(_varied(rng.choice(TEMPLATES[family]), rng, filler), k) for _ in range(a_family)]
     unknown = len(classes) - 1
     rows += [(words(p)[:200], unknown) for p in ordinary]
-    rows += [(rng.sample(common, rng.randint(1, 12)) + [rng.choice(filler) for _ in range(rng.randint(0, 12))], unknown) for _ in range(4 * a_family)]
+    rows += [(rng.sample(common, rng.randint(1, 12)) + [rng.choice(filler) for _ in range(rng.randint(0, 12))], unknown) for _ in range(2 * a_family)]
     rows += [([rng.choice(filler) for _ in range(rng.randint(1, 30))], unknown) for _ in range(2 * a_family)]
     rng.shuffle(rows)
     xs, y = [features(t) for t, _ in rows], np.array([k for _, k in rows])
