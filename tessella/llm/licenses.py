@@ -86,7 +86,7 @@ TEMPLATES = {
     "CC-BY-SA": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC0": ("Dedicated to the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
-    "proprietary": ("All rights reserved. No part of this work may be reproduced without written permission.", "Proprietary and confidential. Unauthorized copying is prohibited."),
+    "proprietary": ("All rights reserved.", "All rights reserved. No part of this work may be reproduced without written permission.", "Proprietary and confidential. Unauthorized copying is prohibited."),
 }
 
 

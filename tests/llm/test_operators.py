@@ -362,3 +362,19 @@ def test_license_classifier_held_out():
     tried = [(f, licenses._varied(rng.choice(t), rng, WORDS)) for f, t in licenses.TEMPLATES.items() for _ in range(20)]
     right = np.mean([model.classes[int(model.probabilities(w).argmax())] == f for f, w in tried])
     assert right > 0.85
+
+
+def test_licenses_find_every_licence_line_of_the_tables():
+    import pyarrow.parquet as pq
+
+    model = licenses.train([" ".join(np.random.default_rng(i).choice(WORDS, 12)) for i in range(120)])
+    planted = {
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC",
+        "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    }
+    seen = set()
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist():
+        want = sorted(planted[x] for x in (text or "").split("\n") if x in planted)
+        assert sorted(f[0] for f in model.scan(text)) == want
+        seen |= set(want)
+    assert seen == set(planted.values()) and [f[0] for f in model.scan("Copyright (c) 2019 Example Inc. All rights reserved.")] == ["proprietary"]
