@@ -1,18 +1,19 @@
 """License scans by a trained paragraph classifier.
 
-A paragraph (a line with content) is a sparse bag of hashed word n-grams (n from 1 to 3). A multinomial logistic
-regression with one class for every licence family and one for `unknown` gives probabilities, calibrated by one
-temperature that is fitted on held-out paragraphs; the class `unknown` is learned from ordinary paragraphs and from
-near misses (shuffled and mixed notices), so a paragraph that is merely about software isn't forced into a family.
-Where a family reaches MIN_PROB, the paragraph is compared with the family's templates: the share of a template's word
-bigrams that occur in the paragraph has to reach MIN_SHARE, which confirms the prediction.
+A paragraph is a block of lines between blank lines, read as one run of words, so hard-wrapped notices are whole. Every
+window of it (of REACH words, or twice the template's if that is more) that holds MIN_SHARE of a template's word bigrams
+is a candidate, as a sparse bag of hashed word n-grams (n from 1 to 3). A multinomial logistic regression with one class
+for every licence family and one for `unknown` gives probabilities, calibrated by one temperature that is fitted on
+held-out paragraphs; the class `unknown` is learned from ordinary paragraphs and from near misses (shuffled and mixed
+notices), so a window that is merely about software isn't forced into a family. A candidate is confirmed where its own
+family reaches MIN_PROB. Several notices in one paragraph or line are each found.
 
 Training paragraphs are made from the templates below (public wordings of notices) by dropping, swapping and adding
 words, and from about ``sample`` documents of the corpus picked by a hash of their ids, whose paragraphs without any
 licence word are the ordinary ones.
 
 Edge cases: null and empty texts have no paragraph and an empty result; a document may hold several families, listed in
-order of name; repeated rows get equal results; very long paragraphs are read whole; with an empty table the model
+order of name; repeated rows get equal results; very long paragraphs are read whole, window by window; with an empty table the model
 learns from the templates alone; other columns are ignored.
 """
 
@@ -20,7 +21,9 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 from zlib import crc32
 
 import numpy as np
@@ -33,7 +36,9 @@ MIN_PROB = 0.5
 MIN_SHARE = 0.6
 SAMPLE = 400
 UNKNOWN = "unknown"
-_WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
+REACH = 80
+_WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
+_BLANK = re.compile(r"\r?\n(?:[^\S\n]*\n)+")
 _HINT = re.compile(r"licen[sc]e|copyright|warrant|redistribut|permission|all rights|public domain|creative commons|spdx|\bcc[ -]by|\bcc0\b|\bmit\b|\bgpl\b|\bagpl\b|\blgpl\b|\bbsd\b|apache|mozilla|\bisc\b|unlicense", re.I)
 
 TEMPLATES = {
@@ -91,17 +96,16 @@ TEMPLATES = {
 
 
 def paragraphs(text: str | None) -> list[tuple[int, int]]:
-    """(start, end) of every line with content, in code points."""
-    out, at = [], 0
-    for line in (text or "").split("\n"):
-        if line.strip():
-            out.append((at, at + len(line)))
-        at += len(line) + 1
-    return out
+    """(start, end) of every block of lines between blank lines, in code points."""
+    text, out, at = text or "", [], 0
+    for gap in _BLANK.finditer(text):
+        out.append((at, gap.start()))
+        at = gap.end()
+    return [(a, b) for a, b in (*out, (at, len(text))) if not text[a:b].isspace() and a < b]
 
 
 def words(paragraph: str) -> list[str]:
-    return _WORD.findall(paragraph.lower())
+    return " ".join(_WORD.findall(paragraph)).lower().split()
 
 
 def bucket(gram: str) -> int:
@@ -134,7 +138,12 @@ class Model:
     def __init__(self, classes: list[str], weights: np.ndarray, bias: np.ndarray, temperature: float, min_share: float = MIN_SHARE):
         self.classes, self.weights, self.bias, self.temperature, self.min_share = classes, weights, bias, temperature, min_share
         self.useful = set(np.flatnonzero(np.abs(weights).sum(axis=1) > 0).tolist())
-        self.templates = {f: [set(zip(w, w[1:], strict=False)) or {tuple(w)} for w in map(words, t)] for f, t in TEMPLATES.items()}
+        #: (family, bigrams, most words of a window) of every template, and the templates that hold each bigram.
+        self.flat = [(f, set(zip(w, w[1:], strict=False)), max(REACH, 2 * len(w))) for f, t in TEMPLATES.items() for w in map(words, t)]
+        self.holders: dict[tuple, list[int]] = {}
+        for n, (_, grams, _) in enumerate(self.flat):
+            for g in grams:
+                self.holders.setdefault(g, []).append(n)
 
     def probabilities(self, tokens: list[str]) -> np.ndarray:
         at = features(tokens)
@@ -142,41 +151,76 @@ class Model:
         z = np.exp(z - z.max())
         return z / z.sum()
 
-    def share(self, family: str, tokens: list[str]) -> float:
-        """The best share of a template's word bigrams that the paragraph holds."""
-        have = set(zip(tokens, tokens[1:], strict=False))
-        return max(len(t & have) / len(t) for t in self.templates[family])
+    def candidates(self, tokens: list[str]) -> list[tuple[float, int, str, int, int]]:
+        """(share, held bigrams, family, first, last + 1 word) of every window of at most ``reach`` words that holds
+        min_share of a template's distinct bigrams, from the first to the last of them; windows of one template don't
+        overlap."""
+        hits: dict[int, list[tuple[int, tuple]]] = {}
+        for i, gram in enumerate(zip(tokens, tokens[1:], strict=False)):
+            for t in self.holders.get(gram, ()):
+                hits.setdefault(t, []).append((i, gram))
+        out = []
+        for t, found in hits.items():
+            family, grams, reach = self.flat[t]
+            need, i, j = max(1, ceil(self.min_share * len(grams) - 1e-9)), 0, 0
+            held: Counter = Counter()
+            if len({g for _, g in found}) < need:
+                continue
+            while j < len(found):
+                at, gram = found[j]
+                held[gram] += 1
+                j += 1
+                while at + 2 - found[i][0] > reach or held[found[i][1]] > 1:
+                    held[found[i][1]] -= 1
+                    if not held[found[i][1]]:
+                        del held[found[i][1]]
+                    i += 1
+                if len(held) < need:
+                    continue
+                last = at
+                for k in range(j, len(found)):
+                    if found[k][0] + 2 - found[i][0] > reach or len(held) == len(grams):
+                        break
+                    if found[k][1] not in held:
+                        held[found[k][1]] += 1
+                        last, j = found[k][0], k + 1
+                inside = Counter(g for _, g in found[i:j])
+                while inside[found[i][1]] > 1:
+                    inside[found[i][1]] -= 1
+                    i += 1
+                out.append((len(held) / len(grams), len(held), family, found[i][0], last + 2))
+                held, i = Counter(), j
+        return out
 
     def scan(self, text: str | None) -> list[tuple[str, float, float, int, int]]:
-        """(family, probability, template share, start, end) of every confirmed paragraph.
+        """(family, probability, template share, start, end) of every confirmed notice.
 
-        A template's words are needed for confirmation, so a paragraph with none of the words that all notices have
-        one of is `unknown` without being scored."""
+        Of windows that overlap, the one that agrees best with its template goes first."""
         out = []
         text = text or ""
         if not _HINT.search(text):
             return out
         for start, end in paragraphs(text):
-            line = text[start:end]
-            if not _HINT.search(line):
+            block = text[start:end]
+            tokens = words(block)
+            tried = self.candidates(tokens)
+            if not tried:
                 continue
-            tokens = words(line)
-            best = self.probabilities(_near_hint(tokens))
-            k = int(best.argmax())
-            if self.classes[k] != UNKNOWN and best[k] >= MIN_PROB and (share := self.share(self.classes[k], tokens)) >= self.min_share:
-                out.append((self.classes[k], float(best[k]), share, start, end))
-        return out
-
-
-def _near_hint(tokens: list[str], reach: int = 40) -> list[str]:
-    """Of a long paragraph the words within reach of a licence word; a short one whole."""
-    if len(tokens) <= 2 * reach:
-        return tokens
-    keep = np.zeros(len(tokens), bool)
-    for i, t in enumerate(tokens):
-        if _HINT.search(t):
-            keep[max(0, i - reach) : i + reach] = True
-    return [t for t, k in zip(tokens, keep, strict=True) if k]
+            at, taken = [m.span() for m in _WORD.finditer(block)], []
+            for share, _, family, i, j in sorted(tried, key=lambda c: (-c[0], -c[1], c[3], c[2])):
+                if any(i < b and a < j for a, b in taken):
+                    continue
+                p = self.probabilities(tokens[max(0, i - 1) : j + 1])
+                k = int(p.argmax())
+                if self.classes[k] == family and p[k] >= MIN_PROB:
+                    taken.append((i, j))
+                    a, b = at[i][0], at[j - 1][1]
+                    while a and not block[a - 1].isspace():
+                        a -= 1
+                    while b < len(block) and not block[b].isspace():
+                        b += 1
+                    out.append((family, float(p[k]), share, start + a, start + b))
+        return sorted(out, key=lambda f: f[3])
 
 
 def train(ordinary: list[str], seed: int = 11, a_family: int = 240) -> Model:

@@ -378,3 +378,17 @@ def test_licenses_find_every_licence_line_of_the_tables():
         assert sorted(f[0] for f in model.scan(text)) == want
         seen |= set(want)
     assert seen == set(planted.values()) and [f[0] for f in model.scan("Copyright (c) 2019 Example Inc. All rights reserved.")] == ["proprietary"]
+
+
+def test_licenses_wrapped_and_several_in_a_line():
+    model = licenses.train([" ".join(np.random.default_rng(i).choice(WORDS, 12)) for i in range(120)])
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell'
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:"
+    texts = {gpl: ["GPL-3.0"], gpl.replace("GNU General", "GNU Affero General"): ["AGPL-3.0"], gpl.replace(":", ";").replace("version 3", "version 2"): ["GPL-2.0"], mit: ["MIT"], bsd: ["BSD"]}
+    for text, want in texts.items():
+        for form in (text, text.replace("\n", "\n * "), text.replace("\n", " "), " ".join(WORDS * 5) + " " + text):
+            assert [f[0] for f in model.scan(form)] == want
+    line = " ".join([*WORDS, *gpl.split(), *WORDS, *mit.split(), *WORDS])
+    (a, _, _, start, end), (b, *_) = model.scan(line)
+    assert (a, b) == ("GPL-3.0", "MIT") and line[start:end].startswith("This program") and line[start:end].endswith("later version.")
