@@ -9,8 +9,9 @@ notices), so a window that is merely about software isn't forced into a family.
 family reaches MIN_PROB. Several notices in one paragraph or line are each found.
 
 Training paragraphs are made from the templates below (public wordings of notices) by dropping, swapping and adding
-words, and from about ``sample`` documents of the corpus picked by a hash of their ids, whose paragraphs without any
-licence word are the ordinary ones.
+words, and from about ``sample`` documents of the corpus picked by a hash of their ids, whose lines without any licence
+word or template are the ordinary ones. A scan leaves out nothing by words of its own: what passes a text by is that it
+holds MIN_SHARE of no template, which the confirmation asks for anyway.
 
 Edge cases: null and empty texts have no paragraph and an empty result; a document may hold several families, listed in
 order of name; repeated rows get equal results; very long paragraphs are read whole, window by window; with an empty table the model
@@ -198,8 +199,6 @@ class Model:
         Of windows that overlap, the one that agrees best with its template goes first."""
         out = []
         text = text or ""
-        if not _HINT.search(text):
-            return out
         for start, end in paragraphs(text):
             block = text[start:end]
             tokens = words(block)
@@ -264,7 +263,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     part = min(1.0, sample / max(1, n)) * (1 << 20)
     chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part).where("text IS NOT NULL")
     lines = chosen.select(F.explode(F.slice(F.split("text", "\n"), 1, 5)).alias("line")).select(F.substring("line", 1, 400).alias("line"))
-    return train(sorted(r["line"] for r in lines.collect() if r["line"].strip() and not _HINT.search(r["line"])))
+    bare = Model([UNKNOWN], np.zeros((BUCKETS, 1)), np.zeros(1), 1.0)
+    notice = lambda line: _HINT.search(line) or bare.candidates(words(line))
+    return train(sorted(r["line"] for r in lines.collect() if r["line"].strip() and not notice(r["line"])))
 
 
 OUT = "doc_id long, families string, n_confirmed long, best_family string, best_probability double, spans string"

@@ -392,3 +392,10 @@ def test_licenses_wrapped_and_several_in_a_line():
     line = " ".join([*WORDS, *gpl.split(), *WORDS, *mit.split(), *WORDS])
     (a, _, _, start, end), (b, *_) = model.scan(line)
     assert (a, b) == ("GPL-3.0", "MIT") and line[start:end].startswith("This program") and line[start:end].endswith("later version.")
+
+
+def test_licenses_find_every_template():
+    model = licenses.train([" ".join(np.random.default_rng(i).choice(WORDS, 12)) for i in range(120)])
+    for family, templates in licenses.TEMPLATES.items():
+        for t in templates:
+            assert [f[0] for f in model.scan(f"{WORDS[0]} {WORDS[1]}\n{t}")] == [family], t
