@@ -3,13 +3,15 @@
 Three base kinds are always reported: assign (a named secret with a value of 8 or more characters), access (AKIA and
 at least 12 more) and hex (32 or more). Three weak kinds are candidates only: ident (a named user, client or key id),
 blob (a bare token of 40 or more base64 characters with digit, lower and upper case) and endpoint (a URL with a
-scheme). Within a document, an interval join pairs spans that start within SCOPE characters of each other, and a weak
-candidate is reported only next to what completes it: an ident next to a secret (assign, hex or blob), a blob next to
-an identifier (access or ident), an endpoint next to both.
+scheme). A named id may have a prefix that ends in a character other than a letter or digit (aws_access_key_id).
+Within a document, an interval join pairs spans with at most SCOPE characters between the end of one and the start of
+the other, and a weak candidate is reported only next to what completes it: an ident next to a secret (assign, hex or
+blob), a blob next to an identifier (access or ident), an endpoint next to both.
 
 Spans are in code points. They are read off the text by marking every match with two characters, splitting there, and
 summing lengths in two levels, so that a text with many matches costs no square of them. The interval join is an
-equi-join on (row, block of SCOPE characters), so it makes at most as many pairs as spans fit into three blocks.
+equi-join on (row, block of SCOPE characters) over all blocks that a span lies in, so a span meets at most what fits
+into its own blocks and one or two on either side. A pair that meets in several blocks counts once, as links are flags.
 
 Edge cases: null text counts as empty; repeated rows and null ids each keep a row of their own; a text's own private-
 use marks are replaced by another character before matching (same length, part of no pattern); an empty table gives an
@@ -33,7 +35,7 @@ BASE = (
     ("hex", r"[0-9a-f]{32,}+", None),
 )
 WEAK = (
-    ("ident", r"""(?i)\b(?:access_?key_?id|client_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,64}""", None),
+    ("ident", r"""(?i)(?<![A-Za-z0-9])(?:access_?key_?id|client_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}+""", None),
     ("blob", r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}+={0,2}", lambda m: m.rlike("[0-9]") & m.rlike("[a-z]") & m.rlike("[A-Z]")),
     ("endpoint", r"""(?i)\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{3,}""", None),
 )
@@ -91,9 +93,11 @@ def link(scanned: DataFrame) -> DataFrame:
     role = F.element_at(F.array(*[F.lit(ROLE[k]) for k in KINDS]), F.col("s.kind") + 1)
     both = scanned.where(F.size("weak") > 0).where(F.size("base") + F.size("weak") > 1)
     parts = both.select("_rid", F.explode(F.concat("base", "weak")).alias("s")).select("_rid", "s", role.alias("role"))
-    block = F.floor(F.col("s.start") / SCOPE)
-    seek = parts.where(F.col("s.kind") >= len(BASE)).select("_rid", F.col("s").alias("w"), F.col("role").alias("own"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
-    meet = seek.join(parts.withColumn("block", block), ["_rid", "block"]).where((F.col("own") != F.col("role")) & (F.abs(F.col("w.start") - F.col("s.start")) <= SCOPE))
+    blocks = lambda start, end: F.explode(F.sequence(F.floor(start / SCOPE), F.floor(end / SCOPE))).alias("block")
+    seek = parts.where(F.col("s.kind") >= len(BASE)).select("_rid", F.col("s").alias("w"), F.col("role").alias("own"), blocks(F.col("s.start") - SCOPE, F.col("s.end") + SCOPE))
+    place = parts.select("_rid", "s", "role", blocks(F.col("s.start"), F.col("s.end")))
+    gap = F.greatest(F.col("w.start") - F.col("s.end"), F.col("s.start") - F.col("w.end"))
+    meet = seek.join(place, ["_rid", "block"]).where((F.col("own") != F.col("role")) & (gap <= SCOPE))
     has = meet.groupBy("_rid", "w", "own").agg(F.bool_or(F.col("role") == "id").alias("id"), F.bool_or(F.col("role") == "secret").alias("secret"))
     full = F.when(F.col("own") == "endpoint", F.col("id") & F.col("secret")).when(F.col("own") == "id", F.col("secret")).otherwise(F.col("id"))
     return has.where(full).groupBy("_rid").agg(F.collect_list("w").alias("linked"))

@@ -399,3 +399,36 @@ def test_licenses_find_every_template():
     for family, templates in licenses.TEMPLATES.items():
         for t in templates:
             assert [f[0] for f in model.scan(f"{WORDS[0]} {WORDS[1]}\n{t}")] == [family], t
+
+
+def test_secrets_prefixed_names_and_gaps(spark):
+    google = "1" * 12 + "-" + "g1" * 20 + ".apps.googleusercontent.com"
+    url = "https://db.example/" + "p" * 400
+    texts = [
+        f"aws_access_key_id = ASIAABCDEFGHIJKLMNOP\naws_secret_access_key = {KEY[:40]}", f"DB_USER=bob {KEY}", f"oauth_client_id: {google} {'y' * 250} {KEY}", None,
+        f"user=bob {KEY * 9} {url} ", f"{KEY * 9} user=bob", f"superuser=bob {KEY}", f"user=bob {' ' * 300} {KEY}", f"token=abcdefgh1 {url}?user=bob",
+    ]
+    rows = {r["doc_id"]: r["spans"] for r in secrets.report(secrets.find_secrets(documents(spark, texts))).collect()}
+    kinds = lambda i: sorted(s.split(":")[0] for s in rows[i].split(",") if s)
+    assert [kinds(i) for i in (0, 1, 2)] == [["blob", "ident"]] * 3 and kinds(5) == ["blob", "ident"]
+    assert kinds(4) == ["blob", "ident"] and kinds(8) == ["assign", "endpoint"]
+    assert kinds(6) == [] and kinds(7) == []
+    ident = next(s for s in rows[2].split(",") if s.startswith("ident")).split(":")
+    assert texts[2][int(ident[1]) : int(ident[2])] == f"client_id: {google}"
+
+
+def test_secrets_link_as_brute_force_over_gaps(spark):
+    r = np.random.default_rng(7)
+    parts = ["user = bob1", KEY, KEY * 8, "https://h.example/" + "q" * 300, "token=abcdefgh1", "a" * 40]
+    texts = ["".join(parts[k] + " " * int(r.integers(1, 400)) for k in r.integers(0, len(parts), 8)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scanned = secrets.scan(df).collect()
+    linked = {x["_rid"]: {tuple(w) for w in x["linked"]} for x in secrets.link(spark.createDataFrame(scanned, secrets.scan(df).schema)).collect()}
+    role = lambda s: secrets.ROLE[secrets.KINDS[s["kind"]]]
+    for x in scanned:
+        want = set()
+        for w in x["weak"]:
+            near = {role(s) for s in (*x["base"], *x["weak"]) if max(w["start"] - s["end"], s["start"] - w["end"]) <= secrets.SCOPE}
+            if {"endpoint": {"id", "secret"}, "id": {"secret"}, "secret": {"id"}}[role(w)] <= near:
+                want.add(tuple(w))
+        assert linked.get(x["_rid"], set()) == want
