@@ -41,12 +41,17 @@ def top_k_per(df: DataFrame, key: str, k: int, by: Column, *ties: str) -> DataFr
 def nearest_by_overlap(tokens: DataFrame, k: int, max_list: int = 1000) -> DataFrame:
     """(id, other, shared, rank) from (id, token): the k ids that share most tokens.
 
-    An inverted-index join: rows meet only where they share a token. Tokens held by more than ``max_list`` ids are
-    stop words of the dictionary and don't make candidates (a documented parameter of this approximate search)."""
+    An inverted-index join: rows meet only where they share a token. Lists of more than ``max_list`` ids are cut into
+    blocks of about that many, and every pair of blocks is a key of its own, so that no list meets in one task and the
+    counts are exact."""
     t = tokens.select("id", "token").distinct()
-    usable = t.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, max_list)).select("token")
-    t = t.join(usable, "token", "left_semi")
-    shared = t.join(t.withColumnRenamed("id", "other"), "token").where("id <> other").groupBy("id", "other").agg(F.count(F.lit(1)).alias("shared"))
+    lists = t.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    usable = lists.select("token", F.ceil(F.col("n") / max_list).cast("int").alias("_c"))
+    t = t.join(usable, "token").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_c")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_c") - 1))
+    left = t.select("token", "id", F.col("_own").alias("_a"), every.alias("_b"))
+    right = t.select("token", F.col("id").alias("other"), every.alias("_a"), F.col("_own").alias("_b"))
+    shared = left.join(right, ["token", "_a", "_b"]).where("id <> other").groupBy("id", "other").agg(F.count(F.lit(1)).alias("shared"))
     return top_k_per(shared, "id", k, F.col("shared"), "other")
 
 

@@ -210,8 +210,16 @@ u AS (SELECT token FROM t GROUP BY 1 HAVING count(*) BETWEEN 2 AND 100000), f AS
 s AS (SELECT a.id, b.id AS other, count(*) AS shared FROM f a JOIN f b ON a.token = b.token AND a.id <> b.id GROUP BY 1, 2)
 SELECT id, other, shared, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, other) AS rank FROM s) WHERE rank <= 3""")
 def knn_token_overlap(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_custkey % 10 = 0")
-    t = o.select(F.col("o_custkey").alias("id"), F.concat("o_orderpriority", F.date_format("o_orderdate", "yyyyMM")).alias("token"))
+    return nearest_customers(table(spark, sf_dir, "orders").where("o_custkey % 10 = 0"))
+
+
+@query("knn_token_overlap_all")
+def knn_token_overlap_all(spark, sf_dir):
+    return nearest_customers(table(spark, sf_dir, "orders"))
+
+
+def nearest_customers(orders):
+    t = orders.select(F.col("o_custkey").alias("id"), F.concat("o_orderpriority", F.date_format("o_orderdate", "yyyyMM")).alias("token"))
     return joins.nearest_by_overlap(t, 3, 100_000).withColumn("rank", F.col("rank").cast("long"))
 
 

@@ -239,3 +239,22 @@ def test_stream_scores_match_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["id"]: r["score"] for r in spark.table("scored").collect()} == {i: 2.0 if i % 2 == 0 else -1.0 for i in range(20)}
+
+
+def test_overlap_counts_long_lists_exactly(spark):
+    r = np.random.default_rng(4)
+    rows = sorted({(int(i), f"t{k}") for i in range(60) for k in r.integers(0, 6, 3)} | {(i, "all") for i in range(60)})
+    t = spark.createDataFrame(rows, "id int, token string")
+    held = {i: {k for j, k in rows if j == i} for i in range(60)}
+    best = {i: sorted((-len(held[i] & held[j]), j) for j in held if j != i)[:3] for i in held}
+    for longest in (1000, 60, 7, 1):
+        got = {(x["id"], x["rank"]): (-x["shared"], x["other"]) for x in joins.nearest_by_overlap(t, 3, longest).collect()}
+        assert got == {(i, n): b for i in best for n, b in enumerate(best[i], 1)}
+
+
+def test_overlap_of_all_customers(spark):
+    from tessella.queries import analysis
+
+    sf = "/root/testdata/sf0.001"
+    ids = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct().count()
+    assert analysis.knn_token_overlap_all(spark, sf).select("id").distinct().count() == ids
