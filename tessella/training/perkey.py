@@ -1,16 +1,17 @@
 """Models by key: the bounded strategy regression and boosted trees, one group of samples of bounded size a key.
 
-A key's samples are trained in one task, as each key has a model of its own; ``max_samples`` bounds them, and keys above
-it are split off by ``oversized`` for a trainer of the whole data.
+A key's samples are trained in one task, as each key has a model of its own; ``max_samples`` bounds them. Strategy keys
+above it are split off by ``oversized`` and trained over all partitions by ``fit_large``.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.sampling import enough
@@ -67,15 +68,87 @@ def oversized(samples: DataFrame, key: str = "id", max_samples: int = 1_000_000)
     return samples.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_samples)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the session's spark.checkpoint.dir; a folder is made only where none is set."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-"))
+    return df.checkpoint()
+
+
+def _intervals(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([bounds(bool(r.label), r.base_pivot, r.observed_value, None if pd.isna(r.true_value) else r.true_value) for r in pdf.itertuples()]).T
+
+
+def fit_large(rows: DataFrame, *, rate: float = 0.05, epochs: int = 40, batch: int = 32, box: tuple = ((0.0, 1.0), (0.01, 10.0), (-5.0, 5.0)), start: tuple = (0.2, 1.0, 0.0), seed: int = 1) -> DataFrame:
+    """A row of OUTPUT for every id, whatever its number of rows: in every epoch each partition goes on from the id's
+    parameters over its own rows, batch by batch, and the ids' new parameters are the partitions' means by rows. Losses
+    are sums over all rows. No id's rows meet in one task; the driver holds three numbers an id."""
+    spark, names = rows.sparkSession, [c.split()[0] for c in OUTPUT.split(", ")]
+    rows = checkpointed(rows.select("id", "label", "x", "base_pivot", "observed_value", "true_value").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)))
+    params = {r["id"]: np.array(start, float) for r in rows.select("id").distinct().collect()}
+    lows, highs = zip(*box, strict=True)
+
+    def epoch(params: dict, e: int, learn: bool) -> dict:
+        def work(parts):
+            own, sums, random = {k: v.copy() for k, v in params.items()}, {}, np.random.default_rng((seed, e))
+            for pdf in parts:
+                for key, g in pdf.groupby("id"):
+                    x, pivot, (lo, hi) = g["x"].to_numpy(float), g["base_pivot"].to_numpy(float), _intervals(g)
+                    s = predict(params[key], x, pivot)
+                    sums[key] = sums.get(key, 0) + np.array([(np.maximum(0, lo - s) + np.maximum(0, s - hi)).sum(), pivot.sum(), len(x)])
+                    order, p = random.permutation(len(x)), own[key]
+                    for i in range(0, len(x) if learn else 0, batch):
+                        k = order[i : i + batch]
+                        t = np.tanh(p[1] * x[k] + p[2])
+                        s = (1 + p[0] * t) * pivot[k]
+                        d = ((s > hi[k]).astype(float) - (s < lo[k])) / len(k)
+                        slope = p[0] * (1 - t * t)
+                        p = np.clip(p - rate / (1 + 0.1 * e) * np.array([(d * t).sum(), (d * slope * x[k]).sum(), (d * slope).sum()]), lows, highs)
+                    own[key] = p
+            yield pd.DataFrame([(k, *v, *(own[k] * v[2])) for k, v in sums.items()], columns=["id", "off", "pivot", "n", "a", "b", "c"])
+
+        out = rows.mapInPandas(work, "id string, off double, pivot double, n double, a double, b double, c double").groupBy("id").agg(*[F.sum(c).alias(c) for c in ("off", "pivot", "n", "a", "b", "c")])
+        return {r["id"]: r for r in out.collect()}
+
+    best: dict = {}
+    for e in range(epochs + 1):
+        got = epoch(params, e, e < epochs)
+        for k, r in got.items():
+            now = r["off"] / r["pivot"]
+            if k not in best or now < best[k][1]:
+                best[k] = (params[k], now, max(0, e - 1))
+            if e == epochs:
+                best[k] += (now,)
+        params = {k: np.array([r["a"], r["b"], r["c"]]) / r["n"] for k, r in got.items()}
+    models = spark.createDataFrame([(k, *map(float, p), float(least), float(last), at + 1) for k, (p, least, at, last) in best.items()], "id string, a double, b double, c double, loss double, train_loss double, epochs int")
+    s = rows.join(F.broadcast(models), "id").withColumn("_s", (1 + F.col("a") * F.tanh(F.col("b") * F.col("x") + F.col("c"))) * F.col("base_pivot"))
+    lower, positive = F.col("_s") < F.col("observed_value"), F.col("label")
+    count = lambda c: F.count_if(c).cast("double")
+    ratio = lambda m, of: F.when(count(of) > 0, count(m) / count(of)).otherwise(0.0)
+    facts = s.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if(positive).alias("n_true"), ratio(lower & ~positive, lower).alias("precision"), ratio(lower & ~positive, ~positive).alias("recall"))
+    regrets = s.where(positive).groupBy("id", F.greatest(F.lit(0.0), F.col("observed_value") - F.col("_s")).alias("r")).agg(F.count(F.lit(1)).alias("m"))
+    upto = regrets.withColumn("upto", F.sum("m").over(Window.partitionBy("id").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)))
+    half = lambda k: F.min(F.when(F.col("upto") * 2 >= F.col("n_true") + k, F.col("r")))
+    median = upto.join(facts.select("id", "n_true"), "id").groupBy("id").agg(((half(0) + half(1)) / 2).alias("regret"))
+    return models.join(facts, "id").join(median, "id", "left").fillna(0.0, ["regret"]).select(*names)
+
+
 def train_strategy(samples: DataFrame, *, least: int = 100, max_samples: int = 1_000_000, **options) -> DataFrame:
-    """A row of OUTPUT for every id with enough samples (id, label, x, base_pivot, observed_value, true_value)."""
-    rows = enough(samples.withColumn("id", F.col("id").cast("string")), "id", least).join(oversized(samples.withColumn("id", F.col("id").cast("string")), "id", max_samples), "id", "left_anti")
+    """A row of OUTPUT for every id with enough samples (id, label, x, base_pivot, observed_value, true_value). Ids of
+    over ``max_samples`` rows train over all partitions, the others in one task each."""
+    samples = samples.withColumn("id", F.col("id").cast("string"))
+    large = checkpointed(oversized(samples, "id", max_samples).select("id"))
+    rows = enough(samples, "id", least).join(large, "id", "left_anti")
     names = [c.split()[0] for c in OUTPUT.split(", ")]
 
     def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{"id": key[0], **fit_key(pdf.sort_values(["x", "observed_value", "label"]), **options)}])[names]
 
-    return rows.groupBy("id").applyInPandas(work, OUTPUT)
+    small = rows.groupBy("id").applyInPandas(work, OUTPUT)
+    if large.isEmpty():
+        return small
+    return small.unionByName(fit_large(enough(samples, "id", least).join(large, "id", "left_semi"), **options))
 
 
 def search_strategy(samples: DataFrame, options: Sequence[dict], **fixed) -> DataFrame:

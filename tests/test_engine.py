@@ -258,3 +258,17 @@ def test_overlap_of_all_customers(spark):
     sf = "/root/testdata/sf0.001"
     ids = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct().count()
     assert analysis.knn_token_overlap_all(spark, sf).select("id").distinct().count() == ids
+
+
+def test_per_key_above_the_bound(spark):
+    r = np.random.default_rng(1)
+    rows = [(str(min(i % 4, 1)), bool(i % 3), float(r.uniform()), 100.0, float(r.uniform(80, 110)), 100.0 if i % 3 else None) for i in range(2400)]
+    df = spark.createDataFrame(rows, "id string, label boolean, x double, base_pivot double, observed_value double, true_value double")
+    whole = {x["id"]: x for x in perkey.train_strategy(df, least=100, epochs=5).collect()}
+    split = perkey.train_strategy(df, least=100, max_samples=1000, epochs=5)
+    got = {x["id"]: x for x in split.collect()}
+    assert set(got) == {"0", "1"} and got["0"] == whole["0"] and (got["1"]["n"], got["1"]["n_true"]) == (whole["1"]["n"], whole["1"]["n_true"])
+    assert abs(got["1"]["loss"] - whole["1"]["loss"]) < 0.01 and 1 <= got["1"]["epochs"] <= 5
+    scored = perkey.score_strategy(df.where("id = '1'"), split).toPandas()
+    regret = np.maximum(0, scored["observed_value"] - scored["prediction"])[scored["label"]]
+    assert got["1"]["regret"] == pytest.approx(float(np.median(regret)))
