@@ -233,8 +233,17 @@ def knn_min_kernel(spark, sf_dir):
 
 @query("box_query", "SELECT l_orderkey, l_linenumber, s_suppkey FROM lineitem JOIN supplier ON l_quantity BETWEEN s_suppkey % 40 AND s_suppkey % 40 + 3 AND l_tax * 100 BETWEEN s_suppkey % 7 AND s_suppkey % 7 + 0.5 WHERE s_suppkey <= 20")
 def box_query(spark, sf_dir):
+    return lines_in_boxes(spark, sf_dir, table(spark, sf_dir, "supplier").where("s_suppkey <= 20"))
+
+
+@query("box_query_all")
+def box_query_all(spark, sf_dir):
+    return lines_in_boxes(spark, sf_dir, table(spark, sf_dir, "supplier"))
+
+
+def lines_in_boxes(spark, sf_dir, suppliers):
     k = F.col("s_suppkey")
-    boxes = table(spark, sf_dir, "supplier").where("s_suppkey <= 20").select("s_suppkey", (k % 40).alias("x0"), (k % 40 + 3).alias("x1"), (k % 7).alias("y0"), (k % 7 + 0.5).alias("y1"))
+    boxes = suppliers.select("s_suppkey", (k % 40).alias("x0"), (k % 40 + 3).alias("x1"), (k % 7).alias("y0"), (k % 7 + 0.5).alias("y1"))
     points = table(spark, sf_dir, "lineitem").select(*LINE, F.col("l_quantity").alias("px"), (F.col("l_tax") * 100).alias("py"))
     return joins.box_query(points, boxes, 4.0).select(*LINE, "s_suppkey")
 

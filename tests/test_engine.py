@@ -272,3 +272,15 @@ def test_per_key_above_the_bound(spark):
     scored = perkey.score_strategy(df.where("id = '1'"), split).toPandas()
     regret = np.maximum(0, scored["observed_value"] - scored["prediction"])[scored["label"]]
     assert got["1"]["regret"] == pytest.approx(float(np.median(regret)))
+
+
+def test_box_query_of_all_suppliers(tmp_path, spark):
+    from tessella.queries import analysis
+
+    spark.range(1, 101).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = [(i, 1, float(i % 50 + 1), i % 9 / 100) for i in range(450)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {(o, n, k) for o, n, q, t in rows for k in range(1, 101) if k % 40 <= q <= k % 40 + 3 and k % 7 <= t * 100 <= k % 7 + 0.5}
+    got = [tuple(r) for r in analysis.box_query_all(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want and max(k for *_, k in got) > 20
+    assert {tuple(r) for r in analysis.box_query(spark, str(tmp_path)).collect()} == {w for w in want if w[2] <= 20}
