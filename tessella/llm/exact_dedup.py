@@ -6,11 +6,13 @@ only one of its text and goes straight through; only the others, with a digest,
 
 The filter has 16 bits a row up to ``max_bits`` (2^28 bits: 32 MB), which is the proven size of its broadcast. Past
 16 million rows the filter fills up: the result stays exact, but more rows, and in the end all, take the shuffle of
-narrow digests (about 80 bytes a row).
+narrow digests (about 80 bytes a row). Positions that are set twice are found by counting positions, combined before
+the shuffle (about 10 bytes a row): bitmaps made by each partition and merged by OR would be 32 MB a partition, and OR
+alone can't tell a position set in two partitions from one set in one.
 
 Edge cases: a null text counts as empty and all empty texts are one group; a null doc_id sorts after all others; of
-rows that repeat in every column exactly one stays; an empty table gives an empty table; extra columns are carried by
-``keep_one`` untouched, whatever their names.
+rows that repeat doc_id and text exactly one stays (any one, where other columns differ); an empty table gives an empty
+table; extra columns are carried by ``keep_one`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,48 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import checkpointed, skew_lookup
-
-BITS_A_ROW = 16
-MAX_BITS = 1 << 28
-MIN_BITS = 1 << 15
-PAGE = 1 << 15
+from tessella.llm.common import MAX_BITS, ROW_KEY, bit_filter, checkpointed, drop_rows, maybe_in, row_key, skew_lookup
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]", "")
 
 
-def _positions(h: Column, bits: int) -> list[Column]:
-    return [h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1))]
-
-
-def repeat_filter(hashes: DataFrame, max_bits: int = MAX_BITS) -> tuple[DataFrame, int]:
-    """From a table with one bigint column h: the pages (page, bitmap) of the filter and its number of bits."""
-    n, bits = hashes.count(), MIN_BITS
-    while bits < min(max_bits, n * BITS_A_ROW):
-        bits *= 2
-    at = hashes.select(F.explode(F.array(*_positions(F.col("h"), bits))).alias("at"))
-    twice = at.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    pages = twice.groupBy(F.shiftright("at", 15).alias("page")).agg(
-        F.expr(f"bitmap_construct_agg(at & {PAGE - 1})").alias("bitmap")
-    )
-    return pages, bits
-
-
-def maybe_repeated(rows: DataFrame, pages: DataFrame, bits: int, h: str) -> DataFrame:
-    """``rows`` with boolean _again: false where the hash in column ``h`` certainly occurs once."""
-    out = rows
-    hits = []
-    for k, at in enumerate(_positions(F.col(h), bits)):
-        bit = at.bitwiseAND(F.lit(PAGE - 1))
-        byte = F.conv(F.hex(F.substring(F.col(f"_map{k}"), F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10)
-        hits.append(F.coalesce(F.getbit(byte.cast("int"), bit.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False)))
-        page = pages.select(F.col("page").alias(f"_page{k}"), F.col("bitmap").alias(f"_map{k}"))
-        out = out.join(F.broadcast(page), F.shiftright(at, 15) == F.col(f"_page{k}"), "left")
-    return out.withColumn("_again", hits[0] & hits[1]).drop("_page0", "_map0", "_page1", "_map1")
-
-
 def _decide(digests: DataFrame) -> DataFrame:
     """Digests (doc_id, n, sha, rid) with keep_id, group_size and kept. Groups are pre-aggregated before the shuffle
     and a hot group's rows stay where they are."""
@@ -71,33 +38,35 @@ def _decide(digests: DataFrame) -> DataFrame:
     return skew_lookup(digests, groups, "sha").withColumn("kept", F.col("rid") == F.col("keep_rid"))
 
 
+def _digests(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, n code points, hash h, digest sha, row number rid and ``more`` for every row, written once: texts are
+    normalised here and nowhere else."""
+    body = normalised(F.col("text"))
+    size = F.length(F.coalesce("text", F.lit(""))).alias("n")
+    one = docs.select("doc_id", size, *more, body.cast("binary").alias("body"))
+    return checkpointed(one.select("doc_id", "n", *[c for c in one.columns[2:-1]], F.xxhash64("body").alias("h"), F.sha2("body", 256).alias("sha"), F.monotonically_increasing_id().alias("rid")))
+
+
 def exact_dedup(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    body = normalised(F.col("text"))
-    digests = checkpointed(
-        docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"), F.xxhash64(body).alias("h"), F.sha2(body.cast("binary"), 256).alias("sha"))
-        .withColumn("rid", F.monotonically_increasing_id())
-    )
-    pages, bits = repeat_filter(digests.select("h"), max_bits)
-    marked = maybe_repeated(digests, pages, bits, "h")
+    digests = _digests(docs)
+    pages, bits = bit_filter(digests.select("h"), max_bits, at_least=2)
+    marked = maybe_in(digests, pages, bits, "h")
     columns = ["doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256")]
-    alone = marked.where(~F.col("_again")).select(
+    alone = marked.where(~F.col("_maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256")
     )
-    again = checkpointed(marked.where("_again").select("doc_id", "n", "sha", "rid"))
+    again = checkpointed(marked.where("_maybe").select("doc_id", "n", "sha", "rid"))
     return alone.unionByName(_decide(again).select(*columns))
 
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one row of every text, all columns as they were. Rows of texts that certainly occur once are
-    neither shuffled nor written; only possible repeats are."""
-    packed = docs.select(F.struct("*").alias("_row"), F.xxhash64(normalised(F.col("text"))).alias("_h"))
-    pages, bits = repeat_filter(packed.select(F.col("_h").alias("h")), max_bits)
-    marked = maybe_repeated(packed, pages, bits, "_h")
-    again = checkpointed(marked.where("_again").select("_row").withColumn("rid", F.monotonically_increasing_id()))
-    body = normalised(F.col("_row.text"))
-    digests = again.select(
-        F.col("_row.doc_id").alias("doc_id"), F.length(F.coalesce("_row.text", F.lit(""))).alias("n"), F.sha2(body.cast("binary"), 256).alias("sha"), "rid"
-    )
-    kept = _decide(digests).where("kept").select("rid")
-    return marked.where(~F.col("_again")).select("_row.*").unionByName(again.join(kept, "rid", "left_semi").select("_row.*"))
+    """``docs`` with one row of every text, all columns as they were. Texts are normalised once, for their digests; rows
+    that certainly stay pass straight through, and only those that may go are shuffled."""
+    digests = _digests(docs, *row_key())
+    pages, bits = bit_filter(digests.select("h"), max_bits, at_least=2)
+    again = checkpointed(maybe_in(digests.select(*ROW_KEY, "doc_id", "n", "h", "sha", "rid"), pages, bits, "h").where("_maybe").drop("_maybe", "h"))
+    decided = checkpointed(_decide(again).where("group_size > 1").select(*ROW_KEY, "kept"))
+    gone, stays = (decided.where(c).select(*ROW_KEY) for c in (~F.col("kept"), F.col("kept")))
+    repeated = stays.join(gone.distinct(), ROW_KEY, "left_semi")
+    return drop_rows(docs, gone.distinct().join(stays, ROW_KEY, "left_anti"), repeated)

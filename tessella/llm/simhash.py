@@ -3,16 +3,19 @@
 Two 64-bit fingerprints that differ in at most four bits differ in at most four of their eight bytes, so they share
 at least four positional bytes. Any four of eight positions contain one of the 20 position triples below (a covering
 design), so the index is keyed by (triple, its three bytes): its lists hold N / 2^24 fingerprints where those of
-single bytes would hold N / 256. Within a list every pair's shared positional bytes are tallied, pairs with at least
-four are retained, and those are verified bit by bit. Lists are cut into blocks of BLOCK fingerprints, a pair of
-blocks to a task, so that no list has to fit in one; each block reports a spanning forest, not its pairs.
+single bytes would hold N / 256. Members of a list share three positional bytes. Their other bytes are tallied from
+postings by (position, byte) within the list; only pairs whose tally reaches four are verified bit by bit. Lists are
+cut into blocks of BLOCK fingerprints, a pair of blocks to a task, so that no list has to fit in one; each block
+reports a spanning forest, not its pairs.
 
 Identical fingerprints are merged first, so exact copies cost one entry.
 
 Edge cases: null and empty texts have no word and fingerprint zero, and are linked like any other; texts of fewer
 than four words give one shingle of all their words; repeated rows share a fingerprint; a null doc_id takes part but
-is never a component_id unless nothing else is reachable; an empty table gives an empty table; very long texts are
-tallied in pieces of PIECE shingles; columns other than doc_id and text are ignored.
+is never a component_id unless nothing else is reachable; an empty table gives an empty table; the hashes of very
+long texts are added up in pieces of PIECE shingles; columns other than doc_id and text are ignored, and ``keep_one``
+carries them whatever their names. Of a component whose ids are all null, or that repeats its smallest id, ``keep_one``
+keeps the row with the smallest hash of its text.
 """
 
 from __future__ import annotations
@@ -26,12 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import checkpointed, components, skew_lookup
+from tessella.llm.common import ROW_KEY, checkpointed, components, drop_rows, row_key, skew_lookup
 
 WORDS = 4
 MAX_BITS = 4
 BLOCK = 4096
 PIECE = 1 << 16
+SHORT = 256
 #: The triples of positions: within three groups of 3, 3 and 2 positions, and two of one group with one of the next.
 GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
 TRIPLES = sorted(
@@ -71,20 +75,43 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
+class Postings:
+    """Members of one list by (position, byte): for each position their numbers in order of byte, and where each begins."""
+
+    def __init__(self, fps: np.ndarray):
+        self.bytes = fps.astype("<u8").view(np.uint8).reshape(-1, 8)
+        self.members, self.begin = [], []
+        for p in range(8 if len(fps) > SHORT else 0):
+            column = self.bytes[:, p]
+            self.members.append(np.argsort(column, kind="stable"))
+            self.begin.append([0, *np.cumsum(np.bincount(column, minlength=256)).tolist()])
+
+    def tally(self, member: int) -> np.ndarray:
+        """How many positional bytes every member shares with this one; short lists are tallied member by member."""
+        if not self.members:
+            return (self.bytes == self.bytes[member]).sum(axis=1)
+        found = [self.members[p][self.begin[p][b] : self.begin[p][b + 1]] for p, b in enumerate(self.bytes[member].tolist())]
+        return np.bincount(np.concatenate(found), minlength=len(self.bytes))
+
+
 def forest(fps: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
-    """Links (member, root) that join the distinct fingerprints (uint64) of one block pair just as all links would."""
-    low, high = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
-    left, out = fps, []
-    while len(left) > 1:
-        root, frontier, left = left[0], left[:1], left[1:]
-        while len(frontier) and len(left):
-            near = np.zeros(len(left), bool)
-            for i in range(0, len(frontier), 64):
-                x = frontier[i : i + 64, None] ^ left[None, :]
-                shared = 8 - np.bitwise_count((((x & low) + low) | x) & high)
-                near |= ((shared >= 8 - max_bits) & (np.bitwise_count(x) <= max_bits)).any(axis=0)
-            frontier, left = left[near], left[~near]
-            out += [(int(f), int(root)) for f in frontier]
+    """Links (member, root) that join the distinct fingerprints (uint64) of one block pair just as all links would.
+
+    Pairs are retained where the tally of shared positional bytes reaches the 8 - max_bits that a link guarantees, and
+    only those are verified."""
+    index, fresh, out = Postings(fps), np.ones(len(fps), bool), []
+    for root in range(len(fps)):
+        if not fresh[root]:
+            continue
+        fresh[root] = False
+        frontier = [root]
+        while frontier:
+            member = frontier.pop()
+            retained = np.flatnonzero((index.tally(member) >= 8 - max_bits) & fresh)
+            near = retained[np.bitwise_count(fps[retained] ^ fps[member]) <= max_bits]
+            fresh[near] = False
+            frontier += near.tolist()
+            out += [(int(f), int(fps[root])) for f in fps[near]]
     return out
 
 
@@ -143,21 +170,39 @@ def links(distinct: DataFrame) -> DataFrame:
     return blocks.repartition(*order).sortWithinPartitions(*order).mapInArrow(_links, "a long, b long").distinct()
 
 
+def _components_of(fps: DataFrame) -> DataFrame:
+    """(fp, component_id, group) for the distinct fingerprints of ``fps`` (doc_id, fp); ``group`` is the smallest
+    fingerprint that is reachable."""
+    reps = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    labels = components(links(reps.select("fp")))
+    linked = checkpointed(reps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("group")))
+    roots = linked.groupBy("group").agg(F.min("first").alias("component_id"))
+    return skew_lookup(linked, roots, "group").select("fp", "component_id", "group")
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (smallest reachable doc_id)."""
     fps = checkpointed(fingerprints(docs))
-    reps = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labels = components(links(reps.select("fp")))
-    linked = reps.join(labels.withColumnRenamed("node", "fp"), "fp")
-    roots = linked.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_fp = reps.join(skew_lookup(checkpointed(linked), roots, "label").select("fp", "component_id"), "fp", "left").select(
-        "fp", F.when(F.col("component_id").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    of_fp = _components_of(fps)
     return skew_lookup(fps, of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h = np.fromiter((fingerprint(t.as_py()) for t in batch.column(0)), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(h.view(np.int64))], [*batch.schema.names[1:], "fp"])
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with the row of the smallest doc_id of every component, all columns as they were. Only ids of dropped
-    rows are joined back. Of rows that repeat one doc_id all stay or none; exact deduplication goes first."""
-    drop = near_dedup(docs).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(checkpointed(drop), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """``docs`` with one row of every component, all columns as they were: the one of the smallest doc_id (null last),
+    then of the smallest hash of its text. Only the keys of dropped rows are joined back."""
+    keyed = docs.select("text", *row_key())
+    fps = checkpointed(keyed.mapInArrow(_keyed, "_k0 long, _k1 boolean, _k2 long, _k3 long, fp long"))
+    of_fp = _components_of(fps.select(F.when(~F.col("_k1"), F.col("_k0")).alias("doc_id"), "fp"))
+    rows = checkpointed(skew_lookup(fps, of_fp.select("fp", "group"), "fp").select(*ROW_KEY, "group"))
+    order = ["_k1", "_k0", "_k2", "_k3"]
+    best = rows.groupBy("group").agg(F.min(F.struct(*order)).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    beside = checkpointed(skew_lookup(rows, best.select("group", "best"), "group").select(*ROW_KEY, (F.struct(*order) == F.col("best")).alias("stays")))
+    gone = beside.where(~F.col("stays")).select(*ROW_KEY)
+    repeated = beside.where("stays").groupBy(*ROW_KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*ROW_KEY)
+    return drop_rows(docs, gone, repeated)
