@@ -5,13 +5,15 @@ order of frequency. A document gets the same list from its whole text, and the l
 out-of-place distance: the sum over the document's n-grams of how far their ranks differ, DEPTH for those the profile
 lacks. The score is 1 minus that distance over the largest possible one.
 
-Profiles are learned from at most about ``docs_a_language`` labelled documents of every language, picked by a hash of
-their ids; counts are summed on the executors.
+Profiles are learned from about ``docs_a_language`` different labelled documents of every language, picked by a hash of
+id and text; counts are summed on the executors. A table of more than ``max_languages`` languages is an error.
 
 Edge cases: null text and text without a letter give `und` and score 0; ties in frequency go to the smaller n-gram,
 ties in distance to the first language in order of name; repeated rows get equal results; null labels are not
-learned; with no labelled row every prediction is `und`; very long texts are counted in pieces of PIECE characters;
-other columns are ignored.
+learned, and rows that repeat id, text and label are learned once; with no labelled row every prediction is `und`; very
+long texts are counted in pieces of PIECE characters, with what precedes a seam carried over it; other columns are
+ignored. ``keep_identified`` rejects texts without a letter and those whose profile is so far from every language's
+that the score is under MIN_SCORE.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 
 DEPTH = 400
 DOCS_A_LANGUAGE = 1500
+MAX_LANGUAGES = 1000
+MIN_SCORE = 0.25
 PIECE = 1 << 20
 SPACE = np.int64(32)
 
@@ -36,29 +40,31 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def _codes(text: str) -> np.ndarray:
-    """The n-grams of one piece as integers of 21 bits a character."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    points = np.where(_letters()[points], points, SPACE)
-    points = np.concatenate(([SPACE], points, [SPACE]))
+def _codes(piece: str, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that end in one piece, as integers of 21 bits a character, and the last two characters to carry on.
+
+    ``before`` are the characters carried from the piece before; anything but a letter is a space, and spaces are one."""
+    points = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    points = np.concatenate((before, np.where(_letters()[points], points, SPACE)))
     points = points[np.concatenate(([True], (points[1:] != SPACE) | (points[:-1] != SPACE)))]
-    is_letter = points != SPACE
-    one = points[is_letter]
-    two = (points[:-1] << 21 | points[1:])[is_letter[:-1] | is_letter[1:]]
-    three = (points[:-2] << 42 | points[1:-1] << 21 | points[2:])[is_letter[1:-1]]
-    return np.concatenate((one, two, three))
+    k, is_letter = len(before), points != SPACE
+    one = points[k:][is_letter[k:]]
+    two = (points[:-1] << 21 | points[1:])[k - 1 :]
+    three = (points[:-2] << 42 | points[1:-1] << 21 | points[2:])[max(0, k - 2) :][is_letter[1:-1][max(0, k - 2) :]]
+    return np.concatenate((one, two, three)), points[-2:]
 
 
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of a whole text, ascending, and their counts."""
-    text = text or ""
+    text, before = (text or "").lower() + " ", np.array([SPACE])
     if len(text) <= PIECE:
-        return np.unique(_codes(text), return_counts=True)
+        return np.unique(_codes(text, before)[0], return_counts=True)
     codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
     for i in range(0, len(text), PIECE):
-        more, n = np.unique(_codes(text[i : i + PIECE]), return_counts=True)
+        more, before = _codes(text[i : i + PIECE], before)
+        more, n = np.unique(more, return_counts=True)
         codes, back = np.unique(np.concatenate((codes, more)), return_inverse=True)
-        counts = np.bincount(back, np.concatenate((counts, n))).astype(np.int64)
+        counts = np.bincount(back, np.concatenate((counts, n)), len(codes)).astype(np.int64)
     return codes, counts
 
 
@@ -98,17 +104,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts.astype(np.int64))], ["lang", "code", "n"])
 
 
-def fit(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE, depth: int = DEPTH) -> Profiles:
-    """Learn a profile for every non-null lang of ``docs`` (doc_id, text, lang). At most languages x depth rows reach
+def fit(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE, depth: int = DEPTH, max_languages: int = MAX_LANGUAGES) -> Profiles:
+    """Learn a profile for every non-null lang of ``docs`` (doc_id, text, lang). At most max_languages x depth rows reach
     the driver."""
-    rows = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
+    rows = docs.select("doc_id", "lang", "text", F.xxhash64("doc_id", "text").alias("h")).where("lang IS NOT NULL AND text IS NOT NULL")
+    found = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(max_languages + 1).collect()
+    if len(found) > max_languages:
+        raise ValueError(f"more than max_languages = {max_languages} values of lang")
+    if not found:
         return Profiles({}, depth)
-    part: Column = F.lit(1.0)
-    for lang, n in sizes.items():
-        part = F.when(F.col("lang") == lang, F.lit(min(1.0, docs_a_language / n))).otherwise(part)
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20)).select("lang", "text")
+    part = F.element_at(F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(1.0, docs_a_language / max(1, r["n"])))]), F.col("lang"))
+    chosen = rows.where(F.pmod("h", F.lit(1 << 20)) < part * (1 << 20)).dropDuplicates(["lang", "doc_id", "h"]).select("lang", "text")
     counts = chosen.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "code"))
     ranked: dict[str, list[int]] = {}
@@ -132,7 +138,13 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def keep_identified(docs: DataFrame, model: Profiles) -> DataFrame:
-    """``docs`` without the rows whose language is `und`, all columns as they were; texts don't leave their task."""
-    verdict = F.arrow_udf(lambda texts: pa.array([model.predict(t.as_py())[0] != "und" for t in texts], pa.bool_()), "boolean")
+def keep_identified(docs: DataFrame, model: Profiles, min_score: float = MIN_SCORE) -> DataFrame:
+    """``docs`` without the rows whose language is `und` or whose score is under ``min_score``, all columns as they were;
+    texts don't leave their task."""
+
+    def known(text: str | None) -> bool:
+        language, score = model.predict(text)
+        return language != "und" and score >= min_score
+
+    verdict = F.arrow_udf(lambda texts: pa.array([known(t.as_py()) for t in texts], pa.bool_()), "boolean")
     return docs.where(verdict(F.col("text")))
