@@ -4,8 +4,10 @@ A text is read as sentences, a sentence as units: runs of letters with inserted
 neighbouring single letters joined ("i d i o t"), accents folded. The kernel of two units is the gap-weighted count of
 common subsequences of three letters, each occurrence weighing DECAY to the power of its span (at most SPAN), divided
 by both units' norms; values under FLOOR count as none, and the power SHARP stresses close matches. The kernel of a
-sentence and a landmark is the sum over the sentence's units, so it is positive semidefinite, and an insult with gaps
-or inserted letters still meets its landmark.
+sentence and a landmark is the sum over the sentence's units, so an insult with gaps or inserted letters still meets its
+landmark. Without FLOOR that would be positive semidefinite; the few directions in which it isn't are left out of the
+inverse root. Letters other than a to z fold to OTHER symbols by code point, which tells the letters of one alphabet
+apart.
 
 Landmarks are units whose share of toxic documents is most in excess, a few of each family of close ones, and common
 units besides. Sentences of labelled
@@ -13,8 +15,8 @@ documents inherit the document's label; mapped by the landmarks' inverse root ke
 squared-hinge SVM by Newton steps. A document's score is a logistic model, fitted on training documents, of its
 strongest sentence, its summed evidence, the numbers of distinct units in evidence at LEVELS, and its length.
 
-Bounds on what is learned from (documented parameters): about ``docs_a_class`` labelled documents of each class and
-``sentences`` of their sentences; all are picked by hashes of ids.
+Bounds on what is learned from (documented parameters): about ``docs_a_class`` different labelled documents of each
+class and ``n_sentences`` of their sentences, picked by hashes of id, text and sentence number, so that runs repeat.
 
 Edge cases: null and empty texts have no unit and get the score of a text without evidence; texts of any length are
 read whole, units over LONG letters in overlapping windows; repeated rows get equal scores; labels without document or
@@ -39,7 +41,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import checkpointed
 from tessella.llm.langid import held_out
 
-LETTERS = 32
+OTHER = 94
+LETTERS = 160
 ORDER = 3
 SPAN = 7
 DECAY = 0.7
@@ -58,7 +61,7 @@ _GAPPED = re.compile(r"(?<!\S)(?:[^\W\d_][\W\d_]{0,2}\s){2,}[^\W\d_](?!\w)")
 
 
 class _Fold(dict):
-    """Translation to a-z, six further letters for other scripts, and nothing for what isn't a letter."""
+    """Translation to a-z, OTHER symbols (from U+00A1 on) for other letters, and nothing for what isn't a letter."""
 
     def __missing__(self, point: int):
         base = unicodedata.normalize("NFKD", chr(point))[0].lower()
@@ -67,7 +70,7 @@ class _Fold(dict):
         elif "a" <= base <= "z":
             out = base
         else:
-            out = chr(ord("{") + ord(base) % 5) if base.isalpha() else None
+            out = chr(0xA1 + ord(base) % OTHER) if base.isalpha() else None
         self[point] = out
         return out
 
@@ -130,7 +133,7 @@ class Landmarks:
             norm = _norms(code, weights)[0]
             for c, v in zip(code[0].tolist(), weights.tolist(), strict=True):
                 entries.append((ids.setdefault(c, len(ids) + 1), j, v / norm))
-        self.row = np.zeros(LETTERS**ORDER, np.int64)
+        self.row = np.zeros(LETTERS**ORDER, np.int32)
         self.row[list(ids)] = list(ids.values())
         self.table = np.zeros((len(ids) + 1, len(words)), np.float32)
         for i, j, v in entries:
@@ -258,10 +261,13 @@ def fit(docs: DataFrame, labels: DataFrame, docs_a_class: int = DOCS_A_CLASS, n_
     sizes = {r["toxic"]: r["n"] for r in known.where("toxic IN (0, 1)").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return Model([], np.zeros(0), 0.0, None, float(next(iter(sizes), 0)))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    part = F.when(F.col("toxic") == 1, docs_a_class / sizes[1]).otherwise(docs_a_class / sizes[0]) * (1 << 20)
-    chosen = known.where((place < part) & F.col("toxic").isin(0, 1))  # about 2 x docs_a_class rows: the broadcast's bound
-    sample = checkpointed(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").repartition(16, "doc_id"))
+    part = lambda n: F.when(F.col("toxic") == 1, docs_a_class / max(1, n.get(1, 1))).otherwise(docs_a_class / max(1, n.get(0, 1))) * (1 << 20)
+    chosen = known.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part(sizes)) & F.col("toxic").isin(0, 1))  # about 2 x docs_a_class rows: the broadcast's bound
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    met = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # more than chosen where ids repeat
+    h = F.xxhash64("doc_id", "text")
+    few = rows.where(F.pmod(h, F.lit(1 << 20)) < part({t: n - docs_a_class if n > 2 * docs_a_class else 1 for t, n in met.items()}))
+    sample = checkpointed(few.withColumn("h", h).dropDuplicates(["doc_id", "h"]).select("h", "toxic", "text").repartition(16, "h"))
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(totals) < 2:
         return Model([], np.zeros(0), 0.0, None, float(next(iter(totals), 0)))
@@ -281,18 +287,19 @@ def fit(docs: DataFrame, labels: DataFrame, docs_a_class: int = DOCS_A_CLASS, n_
     def per_sentence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = Landmarks(words)
         for batch in batches:
-            for toxic, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for doc, toxic, text in zip(*(batch.column(c).to_pylist() for c in (0, 1)), batch.column(2), strict=True):
                 found = sentences(text.as_py())
                 if not found:
                     continue
                 found = [sorted(set(s)) for s in found]
                 rows = marks.kernel([u for s in found for u in s])
                 sums = np.add.reduceat(rows, np.cumsum([0] + [len(s) for s in found[:-1]]), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(found), pa.int32()), pa.array([v.tobytes() for v in sums], pa.binary())], ["toxic", "x"])
+                columns = [pa.array([doc] * len(found), pa.int64()), pa.array(range(len(found)), pa.int64()), pa.array([toxic] * len(found), pa.int32()), pa.array([v.tobytes() for v in sums], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "i", "toxic", "x"])
 
-    mapped = checkpointed(sample.mapInArrow(per_sentence, "toxic int, x binary"))
+    mapped = checkpointed(sample.mapInArrow(per_sentence, "h long, i long, toxic int, x binary"))
     share = min(1.0, n_sentences / max(1, mapped.count()))
-    rows = mapped.where(F.pmod(F.xxhash64("x", F.monotonically_increasing_id()), F.lit(1 << 20)) < share * (1 << 20)).toPandas()
+    rows = mapped.where(F.pmod(F.xxhash64("h", "i"), F.lit(1 << 20)) < share * (1 << 20)).select("toxic", "x").toPandas()
     x, y = np.frombuffer(b"".join(rows.x), np.float32).reshape(-1, len(words)), np.where(rows.toxic == 1, 1.0, -1.0)
     w = train_svm(x @ root, y)
     model = Model(words, (root @ w[:-1]).astype(np.float32), float(w[-1]))
