@@ -9,9 +9,9 @@ notices), so a window that is merely about software isn't forced into a family.
 family reaches MIN_PROB. Several notices in one paragraph or line are each found.
 
 Training paragraphs are made from the templates below (public wordings of notices) by dropping, swapping and adding
-words, and from about ``sample`` documents of the corpus picked by a hash of their ids, whose lines without any licence
-word or template are the ordinary ones. A scan leaves out nothing by words of its own: what passes a text by is that it
-holds MIN_SHARE of no template, which the confirmation asks for anyway.
+words, and from about ``windows`` windows of at most REACH words, picked by hashes from whole texts of about ``sample``
+documents; those without any licence word or template are the ordinary ones. A scan leaves out nothing by words of its
+own: what passes a text by is that it holds MIN_SHARE of no template, which the confirmation asks for anyway.
 
 Edge cases: null and empty texts have no paragraph and an empty result; a document may hold several families, listed in
 order of name; repeated rows get equal results; very long paragraphs are read whole, window by window; with an empty table the model
@@ -32,10 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import checkpointed
+
 BUCKETS = 1 << 14
 MIN_PROB = 0.5
 MIN_SHARE = 0.6
 SAMPLE = 400
+WINDOWS = 2000
 UNKNOWN = "unknown"
 REACH = 80
 _WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
@@ -226,13 +229,13 @@ def train(ordinary: list[str], seed: int = 11, a_family: int = 240) -> Model:
     """Fit on varied templates and ordinary paragraphs; a fifth is held out for the temperature."""
     rng = random.Random(seed)
     common = sorted({w for t in TEMPLATES.values() for x in t for w in words(x)})
-    filler = sorted({w for p in ordinary for w in words(p)})[:5000] or ["the", "of", "and", "text", "this", "page", "for"]
+    filler = sorted({w for p in ordinary for w in words(p)}) or ["the", "of", "and", "text", "this", "page", "for"]
     classes = [*TEMPLATES, UNKNOWN]
     rows: list[tuple[list[str], int]] = []
     for k, family in enumerate(TEMPLATES):
         rows += [(_varied(rng.choice(TEMPLATES[family]), rng, filler), k) for _ in range(a_family)]
     unknown = len(classes) - 1
-    rows += [(words(p)[:200], unknown) for p in ordinary]
+    rows += [(words(p), unknown) for p in ordinary]
     rows += [(rng.sample(common, rng.randint(1, 12)) + [rng.choice(filler) for _ in range(rng.randint(0, 12))], unknown) for _ in range(2 * a_family)]
     rows += [([rng.choice(filler) for _ in range(rng.randint(1, 30))], unknown) for _ in range(2 * a_family)]
     rng.shuffle(rows)
@@ -253,19 +256,28 @@ def train(ordinary: list[str], seed: int = 11, a_family: int = 240) -> Model:
             bias -= 0.02 * p
     held = [(weights[xs[i]].sum(axis=0) / np.sqrt(max(1, len(xs[i]))) + bias, y[i]) for i in range(cut, len(rows))]
     loss = lambda t: sum(np.log(np.exp((z - z.max()) / t).sum()) - (z[k] - z.max()) / t for z, k in held)
-    return Model(classes, weights, bias, min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0), key=loss))
+    return Model(classes, weights, bias, float(min(np.geomspace(0.1, 10.0, 93), key=loss)))
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for h, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            tokens = text.as_py().split()
+            parts = [" ".join(tokens[i : i + REACH]) for i in range(0, len(tokens), REACH)]
+            yield pa.RecordBatch.from_arrays([pa.array([h] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.string())], ["h", "i", "words"])
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn with ordinary paragraphs from about ``sample`` documents (at most five paragraphs of each, 400 characters
-    of each paragraph; they only serve as background words)."""
+def fit(docs: DataFrame, sample: int = SAMPLE, windows: int = WINDOWS) -> Model:
+    """Learn with ordinary windows: about ``sample`` different documents are picked by a hash of id and text, their whole
+    texts cut into windows of REACH words, and about ``windows`` of these picked by a hash. They only serve as background."""
     n = docs.count()
-    part = min(1.0, sample / max(1, n)) * (1 << 20)
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part).where("text IS NOT NULL")
-    lines = chosen.select(F.explode(F.slice(F.split("text", "\n"), 1, 5)).alias("line")).select(F.substring("line", 1, 400).alias("line"))
+    part = lambda most, of: min(1.0, most / max(1, of)) * (1 << 20)
+    chosen = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text").where("text IS NOT NULL").where(F.pmod("h", F.lit(1 << 20)) < part(sample, n)).dropDuplicates(["h"])
+    cut = checkpointed(chosen.mapInArrow(_windows, "h long, i long, words string"))
+    lines = cut.where(F.pmod(F.xxhash64("h", "i"), F.lit(1 << 20)) < part(windows, cut.count())).select("words")
     bare = Model([UNKNOWN], np.zeros((BUCKETS, 1)), np.zeros(1), 1.0)
     notice = lambda line: _HINT.search(line) or bare.candidates(words(line))
-    return train(sorted(r["line"] for r in lines.collect() if r["line"].strip() and not notice(r["line"])))
+    return train(sorted(r["words"] for r in lines.collect() if not notice(r["words"])))
 
 
 OUT = "doc_id long, families string, n_confirmed long, best_family string, best_probability double, spans string"
