@@ -70,7 +70,8 @@ def _mix_sql() -> str:
     named = ", ".join(f"('{s}', CAST({w!r} AS DOUBLE))" for s, w in weights.items())
     return f"""
     WITH RECURSIVE target(class, weight) AS (VALUES {named}),
-    docs AS (SELECT doc_id, source, text, coalesce(target.class, '{mixing.REST}') AS class FROM documents LEFT JOIN target ON target.class = source),
+    docs AS (SELECT row_number() OVER () AS row, doc_id, source, text, coalesce(target.class, '{mixing.REST}') AS class,
+             coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, '')) AS key FROM documents LEFT JOIN target ON target.class = source),
     counts AS (SELECT class, count(*) AS n FROM docs GROUP BY class),
     whole AS (SELECT count(*) AS goal FROM documents),
     share AS (SELECT sum(weight) AS total FROM target JOIN counts USING (class)),
@@ -82,44 +83,47 @@ def _mix_sql() -> str:
       SELECT c.class, c.k + 1, c.term * (lam / chunks / (c.k + 1)), c.total + c.term * (lam / chunks / (c.k + 1))
       FROM cdf c JOIN rate USING (class) WHERE c.k < {mixing.TERMS - 1}),
     drawn AS (
-      SELECT doc_id, source, text, class, CAST('0x' || substr(md5('{mixing.SEED}:' || g.c || ':' || doc_id), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+      SELECT row, doc_id, source, text, key, class, CAST('0x' || substr(md5('{mixing.SEED}:' || g.c || ':' || key), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
       FROM docs JOIN rate USING (class), range(1, 1000) g(c) WHERE g.c <= chunks),
     counted AS (
-      SELECT d.doc_id, any_value(d.source) AS source, any_value(d.text) AS text, CAST(count(c.k) AS INTEGER) AS copies_of_doc
-      FROM drawn d JOIN cdf c ON c.class = d.class AND c.total <= d.u GROUP BY d.doc_id)
+      SELECT any_value(d.doc_id) AS doc_id, any_value(d.source) AS source, any_value(d.text) AS text, any_value(d.key) AS key, CAST(count(c.k) AS INTEGER) AS copies_of_doc
+      FROM drawn d JOIN cdf c ON c.class = d.class AND c.total <= d.u GROUP BY d.row)
     SELECT doc_id, source, text, copies_of_doc, CAST(g.c AS INTEGER) AS copy,
-           CAST('0x' || substr(md5('{mixing.SEED}:order:' || g.c || ':' || doc_id), 1, 15) AS BIGINT) AS mix_key
+           CAST('0x' || substr(md5('{mixing.SEED}:order:' || g.c || ':' || key), 1, 15) AS BIGINT) AS mix_key
     FROM counted, range(1, 100000) g(c) WHERE g.c <= copies_of_doc"""
 
 
 def _chat_sql() -> str:
-    body, role = "coalesce(text, '')", "replace(coalesce(role, ''), chr(10), '')"
+    body, role = "coalesce(text, '')", "coalesce(role, '')"
     escaped = body
     for control, code in chat.CODES.items():
         escaped = f"replace({escaped}, '{control}', '{chat.ESC}{code}')"
+        role = f"replace({role}, '{control}', '{chat.ESC}{code}')"
+    role = f"replace({role}, chr(10), '{chat.ESC}n')"
     marks = len(chat.OPEN) + 1 + len(chat.CLOSE) + 1
     return f"""
     WITH said AS (
-      SELECT conv_id, turn, coalesce(role, '') AS role, {body} AS text FROM conversations
-      UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+      SELECT conv_id, coalesce(role, '') AS role, {body} AS text, row_number() OVER (ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place FROM (
+        SELECT conv_id, turn, role, text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'))
     SELECT conv_id, count(*) AS n_turns,
-      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-      sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
       CAST(sum(length({role}) + length({escaped}) + {marks}) AS BIGINT) AS formatted_chars
     FROM said GROUP BY conv_id"""
 
 
 TOP_K_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256.0) AS DOUBLE)) AS e FROM embeddings
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256.0) AS DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e))
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.row <> q.row AND len(c.e) = len(q.e))
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+  SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
 
 EXACT_SQL = r"""
 WITH d AS (

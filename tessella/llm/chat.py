@@ -25,6 +25,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -173,22 +174,22 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     done, conv, n_turns, loss_chars, size, turns, loss = [], None, 0, 0, 0, None, None
     close = lambda: done.append((conv, n_turns, turns.hexdigest(), loss_chars, loss.hexdigest(), size))
     emit = lambda: pa.RecordBatch.from_pylist([dict(zip(schema.names, d, strict=True)) for d in done], schema)
-    for batch in batches:
-        for r in batch.to_pylist():
-            if turns is None or r["conv_id"] != conv:
-                if turns is not None:
-                    close()
-                conv, n_turns, loss_chars, size, turns, loss = r["conv_id"], 0, 0, 0, hashlib.sha256(), hashlib.sha256()
-            for role, text in read_back(r["formatted"]):
-                turns.update(f"{role}\n{text}\n".encode("utf-8"))
-                n_turns += 1
-            for span in r["loss"]:
-                text = unescape(r["formatted"][span["start"] - r["start"] : span["end"] - r["start"]])
-                loss.update(text.encode("utf-8"))
-                loss_chars += len(text)
-            size += len(r["formatted"])
-        yield emit()
-        done.clear()
+    for r in chain.from_iterable(b.slice(i, 256).to_pylist() for b in batches for i in range(0, b.num_rows, 256)):
+        if len(done) >= 4096:
+            yield emit()
+            done.clear()
+        if turns is None or r["conv_id"] != conv:
+            if turns is not None:
+                close()
+            conv, n_turns, loss_chars, size, turns, loss = r["conv_id"], 0, 0, 0, hashlib.sha256(), hashlib.sha256()
+        for role, text in read_back(r["formatted"]):
+            turns.update(f"{role}\n{text}\n".encode("utf-8"))
+            n_turns += 1
+        for span in r["loss"]:
+            text = unescape(r["formatted"][span["start"] - r["start"] : span["end"] - r["start"]])
+            loss.update(text.encode("utf-8"))
+            loss_chars += len(text)
+        size += len(r["formatted"])
     if turns is not None:
         close()
         yield emit()

@@ -1,16 +1,19 @@
 """Mixing sources to target weights by Poisson replication, with DataFrame functions only.
 
-Every document gets a number in [0, 1) from a seeded hash of its doc_id; inverting the Poisson distribution whose
-mean is its source's target repetition rate gives its number of copies. Copies are exploded, and all rows are dealt
-out and sorted by a seeded hash of (doc_id, copy): a global shuffle that can be repeated exactly.
+Every document gets a number in [0, 1) from a seeded hash of its doc_id and text; inverting the Poisson distribution
+whose mean is its source's target repetition rate gives its number of copies. Copies are exploded, and all rows are
+dealt out and sorted by a seeded hash of (doc_id, text, copy): a global shuffle that can be repeated exactly. Rows that
+repeat doc_id and text share that hash; so that no task gets all of them, rows are dealt out by it and their row number
+modulo SPREAD.
 
 A source's rate is weight x total / rows. Rates above CHUNK are the sum of independent draws of at most CHUNK each,
 so that no distribution needs more than TERMS terms and e^-rate never underflows.
 
 Edge cases: sources that ``weights`` doesn't name, null among them, form one further source of weight ``rest``;
-weights count in proportion to those of the sources that have rows; weight 0 leaves a source out; rows with equal doc_id (null is one) get equal counts; texts aren't looked at; an empty
-table gives an empty table; extra columns are carried whatever their names (the three new ones come last, and
-``columns_of_input`` drops them again).
+weights count in proportion to those of the sources that have rows; weight 0 leaves a source out; rows with equal
+doc_id (null is one) and text (null is empty) get equal counts; an empty table gives an empty table; extra columns are
+carried whatever their names. The three new columns come last; one whose name the table has already gets `_` appended
+until it is free.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from tessella.llm.common import let
 
 SEED = 7
+SPREAD = 64
 CHUNK = 16.0
 TERMS = 96
 REST = "*"
@@ -60,11 +64,15 @@ def rates(docs: DataFrame, weights: Mapping[str, float], rest: float = 0.0, tota
     return {s: w / whole * goal / counts[s] for s, w in share.items()}
 
 
-def copies(rate_of: Mapping[str, float], seed: int) -> Column:
+def document_key() -> Column:
+    """What a row's draws depend on: its doc_id and the md5 of its text."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
+def copies(rate_of: Mapping[str, float], seed: int, key: Column) -> Column:
     """The hash-seeded Poisson count of a row as an integer expression."""
     count: Column = F.lit(0)
     named = [s for s in rate_of if s != REST]
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     for source, rate in rate_of.items():
         if rate <= 0:
             continue
@@ -84,8 +92,16 @@ def mix(docs: DataFrame, weights: Mapping[str, float] = WEIGHTS, rest: float = R
     """Columns of ``docs``, copies_of_doc int, copy int (from 1) and mix_key long, dealt out and ordered within every
     partition by mix_key. ``total`` is the expected number of rows, by default as many as there are."""
     rate_of = rates(docs, weights, rest, total)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    counted = docs.withColumn("copies_of_doc", copies(rate_of, seed).cast("int")).where("copies_of_doc > 0")
-    out = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies_of_doc"))))
-    order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.col("copy").cast("string"), key)), 1, 15), 16, 10)
-    return out.withColumn("mix_key", order.cast("long")).repartition("mix_key").sortWithinPartitions("mix_key")
+    keyed = docs.select(F.struct("*").alias("_row"), F.col("source").alias("source"), document_key().alias("_key"))
+    counted = keyed.select("_row", "_key", copies(rate_of, seed, F.col("_key")).cast("int").alias("_n")).where("_n > 0")
+    out = counted.select("*", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
+    order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.col("_copy").cast("string"), "_key")), 1, 15), 16, 10)
+    dealt = out.select("_row", "_n", "_copy", order.cast("long").alias("_order"), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).alias("_spread"))
+    new, taken = [], {c.lower() for c in docs.columns}
+    for name in ("copies_of_doc", "copy", "mix_key"):
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        new.append(name)
+    placed = dealt.repartition("_order", "_spread").sortWithinPartitions("_order")
+    return placed.select("_row.*", *[F.col(c).alias(n) for c, n in zip(("_n", "_copy", "_order"), new, strict=True)])
