@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe, chat, exact_dedup, langid, licenses, mixing, secrets, simhash, topk, toxicity
-from tessella.llm.common import components, skew_lookup
+from tessella.llm.common import bit_filter, components, contract, maybe_in, shared_folder, skew_lookup
 
 SF = "/root/testdata/sf0.001"
 WORDS = "the of and to in for is on that by this with you it not or be are from at as your all have new more an was we will home can us about if".split()
@@ -63,13 +63,16 @@ def test_exact_dedup_keeps_rows_whole(spark):
 
 def test_filter_passes_single_hashes_and_never_misses_repeats(spark):
     h = spark.range(4000).select(F.xxhash64(F.when(F.col("id") % 10 == 0, F.col("id") % 200).otherwise(F.col("id"))).alias("h"))
-    pages, bits = exact_dedup.repeat_filter(h)
+    pages, bits = bit_filter(h, at_least=2)
     counts = h.groupBy("h").count()
-    marked = exact_dedup.maybe_repeated(counts, pages, bits, "h")
-    assert marked.where("count > 1 AND NOT _again").count() == 0
-    assert marked.where("count = 1 AND _again").count() < 0.05 * marked.where("count = 1").count()
-    small, bits = exact_dedup.repeat_filter(h, max_bits=1 << 15)  # a saturated filter only lets more rows through
-    assert exact_dedup.maybe_repeated(counts, small, bits, "h").where("count > 1 AND NOT _again").count() == 0
+    marked = maybe_in(counts, pages, bits, "h")
+    assert marked.where("count > 1 AND NOT _maybe").count() == 0
+    assert marked.where("count = 1 AND _maybe").count() < 0.05 * marked.where("count = 1").count()
+    small, bits = bit_filter(h, max_bits=1 << 15, at_least=2)  # a saturated filter only lets more rows through
+    assert maybe_in(counts, small, bits, "h").where("count > 1 AND NOT _maybe").count() == 0
+    pages, bits = bit_filter(h.where("h % 2 = 0"))
+    marked = maybe_in(h, pages, bits, "h")
+    assert marked.where("h % 2 = 0 AND NOT _maybe").count() == 0 and marked.where("h % 2 <> 0 AND _maybe").count() < 200
 
 
 def test_skew_lookup_equals_a_join(spark):
@@ -101,9 +104,37 @@ def test_components(spark):
     got = {x["node"]: x["label"] for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = {k: v for k, v in brute_components(links).items() if any(k in p and p[0] != p[1] for p in links)}
     assert got == want
+    rounds = components(spark.createDataFrame(links, "a long, b long"), finish=0).collect()
+    assert len(rounds) == len(want) and {x["node"]: x["label"] for x in rounds} == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_contraction_takes_few_rounds_and_sizes_stay_flat(spark):
+    r = np.random.default_rng(8)
+    ids = r.permutation(20_000).tolist()
+    graphs = {
+        "chain": list(zip(ids, ids[1:], strict=False)),
+        "star": [(5, i) for i in range(6, 900)],
+        "critical": [(int(a), int(b)) for a, b in r.integers(0, 2_000, (1_000, 2)) if a != b],
+    }
+    for links in graphs.values():
+        picks = contract(spark.createDataFrame(links, "a long, b long"), finish=0)
+        nodes = [p.count() for p in picks]
+        assert nodes[0] == len({x for p in links for x in p}) and len(picks) <= 2.5 * np.log2(nodes[0])
+        sizes = [int(str(p._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for p in picks]
+        assert max(sizes) < 100 * nodes[0] + 100_000
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, other: other)))
+    context.getCheckpointDir = lambda: "/shared/a"
+    assert shared_folder(SimpleNamespace(sparkContext=context)) == "/shared/a"
+
+
 def brute_fingerprint(text, words=4):
     w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
     if not w:
@@ -132,6 +163,43 @@ def test_simhash(spark):
     assert simhash.near_dedup(empty(spark)).count() == 0
 
 
+def test_postings_tally_shared_bytes():
+    r = np.random.default_rng(5)
+    fps = np.unique(r.integers(0, 1 << 63, 2000).astype(np.uint64) & np.uint64(0x0703070307030703))
+    assert len(fps) > simhash.SHORT
+    index = simhash.Postings(fps)
+    for member in (0, 7, len(fps) - 1):
+        want = [sum(int(x) >> 8 * p & 255 == int(fps[member]) >> 8 * p & 255 for p in range(8)) for x in fps]
+        assert index.tally(member).tolist() == want
+    short = simhash.Postings(fps[:50])
+    assert short.tally(3).tolist() == simhash.Postings(fps).tally(3)[:50].tolist()
+
+
+def test_simhash_keeps_one_row_of_every_component(spark):
+    long = " ".join(np.random.default_rng(9).choice(WORDS, 800))
+    rows = [(None, long), (None, long + " a"), (7, long + " b"), (7, long + " b"), (3, "x y z"), (3, "quite another text here"), (None, "only null"), (None, "only null"), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_gone", F.lit("clash")).withColumn("_k0", F.lit("mine"))
+    kept = simhash.keep_one(df)
+    fps = {t: brute_fingerprint(t) for _, t in rows}
+    comp = brute_components([(a, b) for a in fps.values() for b in fps.values() if (a ^ b).bit_count() <= 4])
+    assert kept.columns == df.columns and kept.count() == len(set(comp.values()))
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert (7, long + " b") in got and {(3, "x y z"), (3, "quite another text here"), (None, "only null"), (9, None)} <= set(got)
+    assert all(r["_gone"] == "clash" and r["_k0"] == "mine" for r in kept.collect())
+    assert simhash.keep_one(df.where("false")).count() == 0
+
+
+def test_a_third_of_rows_on_one_id(spark):
+    rows = [(None if i % 3 == 0 else i, f"text {i} " * 3) for i in range(900)] + [(5, "same")] * 450
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("src1"))
+    assert exact_dedup.keep_one(df).count() == 901 and simhash.keep_one(exact_dedup.keep_one(df)).count() <= 901
+    got = {(r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(df).where("doc_id = 5").collect()}
+    assert got == {(5, 450), (5, 1)}
+    out = mixing.mix(df, {"src1": 1.0}, rest=0.0)
+    nulls = out.where("doc_id IS NULL").groupBy("text").agg(F.first("copies_of_doc").alias("n")).agg(F.countDistinct("n"), F.countDistinct("text")).first()
+    assert nulls[0] > 2 and nulls[1] < 300  # rows with null ids draw counts of their own
+
+
 def test_triples_cover_every_four_bytes():
     from itertools import combinations
 
@@ -158,6 +226,10 @@ def test_mixing(spark):
     assert out.columns[: len(df.columns)] == df.columns and mixing.mix(df, weights, rest=0.4).exceptAll(out).count() == 0
     assert mixing.mix(df, {"big": 1.0}, rest=0.0).where("source IS NULL OR source <> 'big'").count() == 0
     assert mixing.mix(empty(spark), weights).count() == 0
+    clash = spark.createDataFrame([(i, f"t{i}", "big", "mine", "x", 5) for i in range(50)], "doc_id long, text string, source string, copy string, mix_key string, _n int")
+    out = mixing.mix(clash, {"big": 1.0}, rest=0.0, total=200)
+    assert out.columns == [*clash.columns, "copies_of_doc", "copy_", "mix_key_"]
+    assert all((r["copy"], r["mix_key"], r["_n"]) == ("mine", "x", 5) and r["copy_"] <= r["copies_of_doc"] for r in out.collect())
     assert abs(sum(mixing.cumulative(3.0)[k] for k in (0,)) - np.exp(-3)) < 1e-12 and mixing.cumulative(16.0)[-1] == pytest.approx(1)
 
 
@@ -242,11 +314,11 @@ def test_secrets(spark):
 
 
 def brute_top(ids, vectors, k=5):
-    e = {i: [int(np.floor(256 * float(x))) for x in v] for i, v in zip(ids, vectors, strict=True) if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    e = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in zip(ids, vectors, strict=True) if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q in e:
+    for n, (q, mine) in enumerate(e):
         if q % 50 == 0:
-            s = sorted((-sum(a * b for a, b in zip(e[q], e[c], strict=True)), c) for c in e if c != q and len(e[c]) == len(e[q]))
+            s = sorted((-sum(a * b for a, b in zip(mine, v, strict=True)), c) for m, (c, v) in enumerate(e) if m != n and len(v) == len(mine))
             out += [(q, n, c, -v) for n, (v, c) in enumerate(s[:k], 1)]
     return sorted(out)
 
@@ -260,9 +332,12 @@ def test_top_k(spark):
     ids = [None if i == 11 else i for i in range(300)]
     df = spark.createDataFrame(list(zip(ids, vectors, strict=True)), "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
     want = brute_top(ids, vectors)
-    for tile, shard in ((4096, 8192), (3, 11)):
-        assert sorted(map(tuple, topk.top_k(df, tile=tile, shard=shard).collect())) == want
-    assert sorted(map(tuple, topk.top_k(df.unionByName(df)).collect())) == want
+    for tile_bytes, shard in ((topk.TILE_BYTES, topk.SHARD), (200, 11)):
+        assert sorted(map(tuple, topk.top_k(df, tile_bytes=tile_bytes, shard=shard).collect())) == want
+    repeated = [0 if i and i < 100 else i for i in ids]  # a third of all rows have one id
+    same = spark.createDataFrame(list(zip(repeated, vectors, strict=True)), "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(same, tile_bytes=2000, shard=50).collect())) == brute_top(repeated, vectors)
+    assert sorted(map(tuple, topk.top_k(df.unionByName(df)).collect())) == brute_top(ids * 2, vectors * 2)
     assert topk.top_k(df.where("false")).count() == 0
     huge = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 2.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [r["score"] for r in topk.top_k(huge).orderBy("rank").collect()][0] == 2**63 - 1
@@ -271,14 +346,14 @@ def test_top_k(spark):
 def test_language_profiles(spark):
     model = langid.Profiles({"en": langid.profile("the quick brown fox and the lazy dog of the house " * 9).tolist(), "de": langid.profile("der schnelle braune fuchs und der faule hund im haus " * 9).tolist()})
     assert model.predict("the dog and the fox")[0] == "en" and model.predict("der hund und das haus")[0] == "de" and model.predict(None) == ("und", 0.0) and model.predict("123 ...") == ("und", 0.0)
-    text = "the fox und der Hund " * 40
-    piece, whole = langid.PIECE, langid.ngrams(text.strip())
-    langid.PIECE = 21 * 7
+    text = "  the fox, und der Hund!  ΟΔΟΣ " * 40 + "ab  c"
+    piece, whole = langid.PIECE, langid.ngrams(text)
     try:
-        cut = langid.ngrams(text)
+        for langid.PIECE in (1, 2, 3, 5, 17, 100):  # seams fall within words and between spaces
+            cut = langid.ngrams(text)
+            assert cut[0].tolist() == whole[0].tolist() and cut[1].tolist() == whole[1].tolist()
     finally:
         langid.PIECE = piece
-    assert cut[0].tolist() == whole[0].tolist() and cut[1].tolist() == whole[1].tolist()
     brute = {}
     for w in re.findall(r"[^\W\d_]+", "Ab ba"):
         for n in (1, 2, 3):
@@ -296,10 +371,56 @@ def test_language_id_held_out(spark):
     got = langid.identify(docs, model).withColumn("held", langid.held_out()).join(docs.select("doc_id", "lang"), "doc_id")
     assert got.where("held").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.95
     kept = langid.keep_identified(documents(spark, ["a", None, "", "12"]), model)
-    assert [r["text"] for r in kept.collect()] == ["a"] and "clash" in kept.first()
+    assert [r["text"] for r in kept.collect()] == ["a"] and kept.first()["n"] == "clash" and kept.columns == documents(spark, ["a"]).columns
+    strange = spark.createDataFrame([(1, "это предложение написано по русски"), (2, "the house is on the hill")], "doc_id long, text string")
+    assert [r["doc_id"] for r in langid.keep_identified(strange, model).collect()] == [2]
+    with pytest.raises(ValueError, match="max_languages"):
+        langid.fit(docs, max_languages=2)
+    hot = docs.select(F.lit(None).cast("long").alias("doc_id"), "text", "lang").unionByName(spark.range(100).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same").alias("text"), F.lit("en").alias("lang")))
+    assert langid.fit(hot, docs_a_language=50).languages == sorted({r["lang"] for r in docs.select("lang").distinct().collect() if r["lang"]})
     assert langid.fit(empty(spark)).predict("text") == ("und", 0.0) and langid.identify(empty(spark), model).count() == 0
 
 
+def test_language_predictions_match_brute_force(spark):
+    """Ranks, distances and scores by dictionaries, for every document of a table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out()), docs_a_language=10**6)
+    rows = docs.collect()
+
+    def grams(text):
+        out = {}
+        for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            w = " " + "".join(c if c.isalpha() else " " for c in w) + " "
+            for n in (1, 2, 3):
+                for i in range(len(w) - n + 1):
+                    g = w[i : i + n]
+                    if g.strip() and (n < 3 or g[1] != " "):
+                        out[g] = out.get(g, 0) + 1
+        return out
+
+    def ranked(counts):
+        code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+        return {g: i for i, g in enumerate(sorted(counts, key=lambda g: (-counts[g], code(g)))[: langid.DEPTH])}
+
+    import zlib
+
+    learned = {}
+    for lang, _, text in {(r["lang"], r["doc_id"], r["text"]) for r in rows if r["lang"] and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5}:
+        total = learned.setdefault(lang, {})
+        for g, n in grams(text).items():
+            total[g] = total.get(g, 0) + n
+    profiles = {lang: ranked(c) for lang, c in sorted(learned.items())}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, model).collect()}
+    for r in rows:
+        mine = ranked(grams(r["text"]))
+        if not mine:
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        far = {lang: sum(abs(p[g] - i) if g in p else langid.DEPTH for g, i in mine.items()) for lang, p in profiles.items()}
+        best = min(far, key=far.get)
+        assert got[r["doc_id"]] == (best, pytest.approx(1 - far[best] / (langid.DEPTH * len(mine))))
+
+
 def brute_kernel(s, t):
     """Gap-weighted common subsequences of ORDER letters, by listing them."""
     from itertools import combinations
@@ -324,6 +445,8 @@ def test_subsequence_kernel():
     got = toxicity.Landmarks(words).kernel(tokens)
     want = [[brute_kernel(t, w) for w in words] for t in tokens]
     assert np.allclose(got, want, atol=1e-4)
+    assert toxicity.units("Дурак идиот") != toxicity.units("Домик весна") and len({*"абвгдежзийклмнопрстуфхцчшщъыьэюя"}) == 32
+    assert len(set("".join(toxicity.units("абвгдежзиклмнопрстуфхцчшщъыьэюя")))) == 31 and toxicity.Landmarks(["дурак".translate(toxicity._FOLD)]).kernel(toxicity.units("дураак домик"))[:, 0].round(3).tolist()[1] == 0.0
     assert toxicity.units("you C-L.o*wn, i d i o t!") == ["you", "clown", "idiot"] and toxicity.units("ídïot") == ["idiot"] and len(toxicity.units("a" * 200)) > 5
 
 

@@ -36,7 +36,7 @@ def test_pipeline(spark):
     for r in kept:
         if r["source"] in weights:
             rate = weights[r["source"]] / sum(weights.values()) * len(kept) / n[r["source"]]
-            u = int(hashlib.md5(f"{mixing.SEED}:1:{r['doc_id']}".encode()).hexdigest()[:13], 16) / 2**52
+            u = int(hashlib.md5(f"{mixing.SEED}:1:{r['doc_id']}:{hashlib.md5(r['text'].encode()).hexdigest()}".encode()).hexdigest()[:13], 16) / 2**52
             copies = int((np.array(mixing.cumulative(rate)) <= u).sum())
             ids = own.encode(r["text"], add_special_tokens=False).ids
             want += [(r["doc_id"], ids, len(ids), hashlib.sha256(r["text"].encode()).hexdigest())] * copies
