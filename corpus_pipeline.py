@@ -9,7 +9,8 @@ from tessella.llm.common import checkpointed
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told at all; those without any letter go."""
+    """Documents whose predicted language is near enough: those without any letter go, and those whose profile is so far
+    from that of every learned language that the score is under langid.MIN_SCORE."""
     return langid.keep_identified(docs, langid.fit(docs.where(~langid.held_out())))
 
 
