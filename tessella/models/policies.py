@@ -27,7 +27,7 @@ def epsilon_greedy(scores: DataFrame, state: list[str], action: str, epsilon: fl
 def softmax_policy(scores: DataFrame, state: list[str], action: str, temperature: float, seed: int = 0) -> DataFrame:
     """(state, action): an action drawn in proportion to exp(score / temperature), as the largest of score / temperature
     plus Gumbel noise, so no running sum of shares is needed."""
-    u = (place(*map(F.col, [*state, action]), seed=seed) * (1 << 30) + 0.5) / float(1 << 30)
+    u = place(*map(F.col, [*state, action]), seed=seed) + 0.5 / float(1 << 52)
     return scores.groupBy(*state).agg(_first(-(F.col("score") / temperature - F.log(-F.log(u))), action).alias(action))
 
 
