@@ -71,7 +71,7 @@ def counts(tokens: Column) -> Column:
         entry = lambda at: F.transform(at, lambda i, j: F.struct(F.get(s, i).alias("key"), (F.coalesce(F.get(at, j + 1), F.size(s)) - i).cast("double").alias("value")))
         return F.when(F.size(s) == 0, no_floats()).otherwise(F.map_from_entries(once(starts, entry)))
 
-    return F.when(tokens.isNotNull(), once(F.array_sort(tokens), runs))
+    return F.when(tokens.isNotNull(), once(F.sort_array(tokens), runs))
 
 
 def sigmoid(x: Column) -> Column:

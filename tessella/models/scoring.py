@@ -6,13 +6,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.features import FeatureSet
 from tessella.functions.scalar import maxout_halves, platt
 from tessella.models.functions import evaluate
-from tessella.operators.joins import top_k_per
+from tessella.operators.joins import lookup, top_k_per
 from tessella.transforms.trees import descend
 
 KEY = ["family", "feature"]
@@ -24,7 +24,7 @@ def complete(scores: DataFrame, examples: DataFrame, ids: list[str]) -> DataFram
 
 def contributions(long: DataFrame, weights: DataFrame, model_type: str) -> DataFrame:
     """Columns of ``long`` and each feature's part of the score: the explanation."""
-    on = long.join(weights, KEY)
+    on = lookup(long, weights, KEY)
     if model_type == "linear":
         part = F.col("weight")
     elif model_type in ("additive", "spline"):
@@ -86,27 +86,26 @@ def score_tree_classes(fs: FeatureSet, trees: Sequence[Sequence[Mapping]]) -> Co
 
 def score_full_rank(long: DataFrame, weights: DataFrame, ids: list[str]) -> DataFrame:
     """(ids, label, score) with weights (family, feature, label, weight)."""
-    return long.join(weights, KEY).groupBy(*ids, "label").agg(F.sum(F.col("value") * F.col("weight")).alias("score"))
+    return lookup(long, weights, KEY).groupBy(*ids, "label").agg(F.sum(F.col("value") * F.col("weight")).alias("score"))
 
 
 def with_softmax(scores: DataFrame, ids: list[str]) -> DataFrame:
-    """Column probability over an example's labels, by aggregates joined back (labels an example are few)."""
-    top = scores.groupBy(*ids).agg(F.max("score").alias("_top"))
-    e = scores.join(top, ids).withColumn("_e", F.exp(F.col("score") - F.col("_top")))
-    total = e.groupBy(*ids).agg(F.greatest(F.sum("_e"), F.lit(1e-10)).alias("_sum"))
-    return e.join(total, ids).withColumn("probability", F.col("_e") / F.col("_sum")).drop("_top", "_e", "_sum")
+    """Column probability over an example's labels; the scores are already placed by example, so nothing is shuffled."""
+    one = Window.partitionBy(*ids)
+    e = scores.withColumn("_e", F.exp(F.col("score") - F.max("score").over(one)))
+    return e.withColumn("probability", F.col("_e") / F.greatest(F.sum("_e").over(one), F.lit(1e-10))).drop("_e")
 
 
 def score_low_rank(long: DataFrame, embedding: DataFrame, labels: DataFrame, ids: list[str]) -> DataFrame:
     """(ids, label, score): features (family, feature, dim, weight) are summed to an embedding, then joined to the
     labels' (label, dim, weight)."""
-    e = long.join(embedding, KEY).groupBy(*ids, "dim").agg(F.sum(F.col("value") * F.col("weight")).alias("x"))
+    e = lookup(long, embedding, KEY).groupBy(*ids, "dim").agg(F.sum(F.col("value") * F.col("weight")).alias("x"))
     return e.join(labels, "dim").groupBy(*ids, "label").agg(F.sum(F.col("x") * F.col("weight")).alias("score"))
 
 
 def score_maxout(long: DataFrame, hidden: DataFrame, ids: list[str], size: int) -> DataFrame:
     """(ids, score) with weights (family, feature, unit, weight) of ``size`` hidden units."""
-    h = long.join(hidden, KEY).groupBy(*ids, "unit").agg(F.sum(F.col("value") * F.col("weight")).alias("x"))
+    h = lookup(long, hidden, KEY).groupBy(*ids, "unit").agg(F.sum(F.col("value") * F.col("weight")).alias("x"))
     packed = h.groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("unit", "x"))).alias("m"))
     vec = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast(h.schema["unit"].dataType)), F.lit(0.0)))
     return packed.select(*ids, maxout_halves(vec).alias("score"))

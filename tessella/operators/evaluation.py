@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.sampling import fold
+from tessella.operators.statistics import running_sums
+
+
 def side() -> Column:
     return F.when(F.col("is_training"), "TRAIN").otherwise("HOLD")
 
@@ -57,17 +61,16 @@ def roc_auc(records: DataFrame, *keys: str | Column) -> DataFrame:
     """Area under the ROC curve of every key (one row without keys), ties between scores counting half."""
     keys = list(keys) or [F.lit(0).alias("_all")]
     names = [k if isinstance(k, str) else k._jc.toString().rpartition(" AS ")[2].strip("`") for k in keys]
-    h = _by_score(records, keys)
-    w = Window.partitionBy(*names).orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    area = h.withColumn("below", F.sum("n").over(w) - F.col("n")).groupBy(*names).agg(
-        F.sum(F.col("p") * (F.col("below") + F.col("n") / 2.0)).alias("u"), F.sum("p").alias("tp"), F.sum("n").alias("tn")
+    h = running_sums(_by_score(records, keys), names, "score", ["n"])
+    area = h.groupBy(*names).agg(
+        F.sum(F.col("p") * (F.col("below_n") + F.col("n") / 2.0)).alias("u"), F.sum("p").alias("tp"), F.sum("n").alias("tn")
     )
     return area.withColumn("AUC", F.try_divide(F.col("u"), F.col("tp") * F.col("tn"))).drop("u", "tp", "tn", "_all")
 
 
 def auc_folds(records: DataFrame, ids: list[str], folds: int = 5) -> DataFrame:
     """Mean, population deviation, least and largest AUC of both sides over hashed folds."""
-    with_fold = records.withColumns({"side": side(), "fold": F.pmod(F.xxhash64(*ids), F.lit(folds))})
+    with_fold = records.withColumns({"side": side(), "fold": fold(*map(F.col, ids), folds=folds)})
     auc = roc_auc(with_fold, "side", "fold")
     return auc.groupBy("side").agg(F.avg("AUC").alias("AUC"), F.stddev_pop("AUC").alias("AUC_STDDEV"), F.min("AUC").alias("AUC_MIN"), F.max("AUC").alias("AUC_MAX"))
 
@@ -75,13 +78,12 @@ def auc_folds(records: DataFrame, ids: list[str], folds: int = 5) -> DataFrame:
 def pr_auc(records: DataFrame) -> DataFrame:
     """Trapezoids over recall, from (precision 1, recall 0), for both sides."""
     h = _by_score(records, [side().alias("side")])
-    w = Window.partitionBy("side").orderBy(F.col("score").desc())
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    points = h.withColumns({"tp": F.sum("p").over(run), "fp": F.sum("n").over(run), "all": F.sum("p").over(Window.partitionBy("side"))})
-    points = points.withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", "all")})
-    last = lambda c, d: F.lag(c, 1, d).over(w)
-    step = (F.col("recall") - last("recall", 0.0)) * (F.col("precision") + last("precision", 1.0)) / 2
-    return points.select("side", step.alias("step")).groupBy("side").agg(F.sum("step").alias("PR_AUC"))
+    total = h.groupBy("side").agg(F.sum("p").alias("all"))  # a row a side
+    h = running_sums(h.withColumn("falling", -F.col("score")), ["side"], "falling", ["p", "n"]).join(F.broadcast(total), "side")
+    before, tp, fp = F.col("below_p"), F.col("below_p") + F.col("p"), F.col("below_n") + F.col("n")
+    precision, last = tp / (tp + fp), F.coalesce(F.try_divide(before, before + F.col("below_n")), F.lit(1.0))
+    step = F.try_divide("p", "all") * (precision + last) / 2
+    return h.select("side", step.alias("step")).groupBy("side").agg(F.sum("step").alias("PR_AUC"))
 
 
 def regression(records: DataFrame) -> DataFrame:

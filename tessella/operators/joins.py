@@ -10,6 +10,24 @@ from pyspark.sql import functions as F
 from tessella.functions.scalar import min_kernel
 
 
+#: A table of at most so many rows is broadcast by ``lookup``; a key with more than 1/HOT_SHARE of all rows is hot.
+BROADCAST_ROWS, HOT_SHARE = 200_000, 200
+
+
+def lookup(rows: DataFrame, keyed: DataFrame, on: Sequence[str], most: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join of many rows with a table of few rows a key, such as a model's weights.
+
+    The table is kept and counted. With at most ``most`` rows it is broadcast, so the rows stay where they are. Beyond
+    that the entries of hot keys (at most HOT_SHARE keys) are broadcast, and all other rows take a shuffled join."""
+    on, keyed = list(on), keyed.persist()
+    if keyed.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(keyed), on)
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.where(F.col("_n") > max(64, rows.count() // HOT_SHARE)).select(*on)
+    first = rows.join(F.broadcast(keyed.join(F.broadcast(hot), on, "left_semi")), on)
+    return first.unionByName(rows.join(F.broadcast(hot), on, "left_anti").join(keyed, on))
+
+
 def with_defaults(left: DataFrame, right: DataFrame, on: Sequence[str], defaults: dict) -> DataFrame:
     """Left join whose missing values take defaults: samples with previous parameters or per-key options."""
     return left.join(right, list(on), "left").fillna(defaults, subset=[c for c in defaults if c in right.columns])
@@ -38,8 +56,8 @@ def top_k_per(df: DataFrame, key: str, k: int, by: Column, *ties: str) -> DataFr
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(by.desc(), *ties))).where(F.col("rank") <= k)
 
 
-def nearest_by_overlap(tokens: DataFrame, k: int, max_list: int = 1000) -> DataFrame:
-    """(id, other, shared, rank) from (id, token): the k ids that share most tokens.
+def nearest_by_overlap(tokens: DataFrame, k: int, max_list: int = 1000, asked: Column | None = None) -> DataFrame:
+    """(id, other, shared, rank) from (id, token): the k ids that share most tokens, for every id or those ``asked``.
 
     An inverted-index join: rows meet only where they share a token. Lists of more than ``max_list`` ids are cut into
     blocks of about that many, and every pair of blocks is a key of its own, so that no list meets in one task and the
@@ -49,15 +67,17 @@ def nearest_by_overlap(tokens: DataFrame, k: int, max_list: int = 1000) -> DataF
     usable = lists.select("token", F.ceil(F.col("n") / max_list).cast("int").alias("_c"))
     t = t.join(usable, "token").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_c")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("_c") - 1))
-    left = t.select("token", "id", F.col("_own").alias("_a"), every.alias("_b"))
+    left = (t if asked is None else t.where(asked)).select("token", "id", F.col("_own").alias("_a"), every.alias("_b"))
     right = t.select("token", F.col("id").alias("other"), every.alias("_a"), F.col("_own").alias("_b"))
     shared = left.join(right, ["token", "_a", "_b"]).where("id <> other").groupBy("id", "other").agg(F.count(F.lit(1)).alias("shared"))
     return top_k_per(shared, "id", k, F.col("shared"), "other")
 
 
-def nearest_by_min_kernel(vectors: DataFrame, queries: DataFrame, k: int, blocks: int = 16) -> DataFrame:
+def nearest_by_min_kernel(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = 10_000) -> DataFrame:
     """(id, other, similarity, rank) from (id, vec): the k most similar vectors of every query by histogram
-    intersection, itself left out. Queries and vectors meet block by block, and each block's best k go on."""
+    intersection, itself left out. Queries and vectors meet block by block, and each block's best k go on; there are as
+    many blocks as hold about ``block_rows`` vectors each, 16 at least."""
+    blocks = max(16, -(-vectors.count() // block_rows))
     q = queries.select(F.col("id").alias("id"), F.col("vec").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     v = vectors.select(F.col("id").alias("other"), "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     scored = q.join(v, "block").where("id <> other").select("id", "block", "other", min_kernel(F.col("q"), F.col("vec")).alias("similarity"))

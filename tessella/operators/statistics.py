@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.joins import lookup
+
 KEY = ("family", "feature")
 
 
@@ -45,16 +47,36 @@ def dictionary(statistics: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Rows numbered from 0 in a global order: a range-partitioned sort, and each partition's start from the sizes of
     those before it (one small row a partition)."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    placed = in_ranges(df, order)
     placed = placed.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
     return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at") - 1).drop("_part", "_at", "_n", "_start")
 
 
+def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """Column _part: the number of the range of ``order`` that a row is in. The number of ranges is fixed, so that they are
+    the same wherever the table is read in one query."""
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id())
+
+
+def running_sums(df: DataFrame, keys: list[str], order: str, names: list[str]) -> DataFrame:
+    """Columns below_<name>: for every row the sum over the rows of its key with a smaller ``order`` (unique within a key).
+    Ranges of rows are summed by themselves and each gets the sum of those before it, so no task sorts all rows of a key."""
+    placed = in_ranges(df, [*keys, order])
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = placed.groupBy("_part", *keys).agg(*[F.sum(c).alias(c) for c in names])
+    by_key = Window.partitionBy(*keys).orderBy("_part")
+    starts = totals.select("_part", *keys, *[before(c, by_key).alias(f"_start_{c}") for c in names])
+    inside = Window.partitionBy("_part", *keys).orderBy(order)
+    rows = placed.select("*", *[before(c, inside).alias(f"_in_{c}") for c in names]).join(starts, ["_part", *keys])
+    return rows.select(*df.columns, *[(F.col(f"_start_{c}") + F.col(f"_in_{c}")).alias(f"below_{c}") for c in names])
+
+
 def vectorise(long: DataFrame, dictionary: DataFrame, ids: list[str]) -> DataFrame:
     """Sparse vectors (indices, values) of scaled features; features that the dictionary lacks are dropped."""
-    known = long.join(dictionary, list(KEY)).select(*ids, F.struct(F.col("index"), (F.col("scale") * (F.col("value") - F.col("mean"))).alias("x")).alias("p"))
+    known = lookup(long, dictionary, list(KEY)).select(*ids, F.struct(F.col("index"), (F.col("scale") * (F.col("value") - F.col("mean"))).alias("x")).alias("p"))
     packed = known.groupBy(*ids).agg(F.sort_array(F.collect_list("p")).alias("p"))
     return packed.select(*ids, F.col("p.index").alias("indices"), F.col("p.x").alias("values"))
 
