@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.training.sparse import KEY, LOSSES, fobos, in_bags, index_features, sparse_rows
+from tessella.training.sparse import KEY, LOSSES, fobos, in_bags, in_shards, index_features, sparse_rows
 
 
 def train_linear(
@@ -18,7 +18,7 @@ def train_linear(
     """(family, feature, weight). ``labels`` is (ids, label). Classification losses take a label above rank_threshold as 1
     and any other as -1. String features weigh 1 unless ``use_values``."""
     index = index_features(long, min_count).cache()
-    rows = sparse_rows(long, index, labels, ids).cache()
+    rows = in_shards(sparse_rows(long, index, labels, ids), num_bags, ids)
     names = index.select(*KEY, "index").toPandas()
     n = len(names)
     w = np.zeros(n)
@@ -55,7 +55,7 @@ def train_linear(
 
             return feed
 
-        got = in_bags(rows, num_bags, seed + it, ids, walk, "index long, weight double").groupBy("index").agg(F.avg("weight").alias("weight")).toPandas()
+        got = in_bags(rows, seed + it, ids, walk, "index long, weight double").groupBy("index").agg(F.avg("weight").alias("weight")).toPandas()
         start = np.zeros(n)
         start[got["index"].to_numpy()] = got["weight"].to_numpy()
     out = names.assign(weight=start[where])
