@@ -35,9 +35,12 @@ def feature_stats(spark, sf_dir):
     return rounded(rounded(statistics.feature_statistics(long(spark, sf_dir), 10), "mean"), "variance", digits=4)
 
 
-@query("feature_quantiles")
+@query("feature_quantiles", f"""WITH {LONG}, r AS (SELECT family, feature, value, row_number() OVER (PARTITION BY family, feature ORDER BY value) AS i, count(*) OVER (PARTITION BY family, feature) AS n FROM long)
+SELECT family, feature, max(value) FILTER (i = ceil(n / 10.0)) AS q10, max(value) FILTER (i = ceil(n / 2.0)) AS q50, max(value) FILTER (i = ceil(n * 9 / 10.0)) AS q90 FROM r WHERE n >= 10 GROUP BY 1, 2""")
 def feature_quantiles(spark, sf_dir):
-    return statistics.feature_statistics(long(spark, sf_dir), 10, [0.1, 0.5, 0.9]).select("family", "feature", "quantiles")
+    """With an accuracy that is exact up to a million values of a feature."""
+    q = statistics.feature_statistics(long(spark, sf_dir), 10, [0.1, 0.5, 0.9], 1_000_000)
+    return q.select("family", "feature", *[F.col("quantiles")[i].alias(n) for i, n in enumerate(("q10", "q50", "q90"))])
 
 
 @query("flatten_long", f"WITH {LONG} SELECT * FROM long")
@@ -145,13 +148,13 @@ def json_parse(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), "event_type")
 
 
-@query("training_split")
+@query("training_split", "SELECT l_orderkey, l_linenumber, CAST('0x' || substr(md5(l_orderkey || ':' || l_linenumber), 1, 2) AS BIGINT) > 16 AS is_training FROM lineitem")
 def training_split(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem").select(*LINE)
     return t.withColumn("is_training", sampling.is_training(*map(F.col, LINE)))
 
 
-@query("downsample")
+@query("downsample", f"SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE l_returnflag <> 'N' OR CAST('0x' || substr(md5('0:' || l_orderkey || ':' || l_linenumber), 1, 13) AS BIGINT) < 0.25 * {1 << 52}")
 def downsample(spark, sf_dir):
     return sampling.downsample(table(spark, sf_dir, "lineitem").select(*LINE, "l_returnflag"), "l_returnflag", {"N": 0.25}, LINE)
 
@@ -205,22 +208,13 @@ def top_k_per_key(spark, sf_dir):
     return joins.top_k_per(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", 3, F.col("o_totalprice"), "o_orderkey").withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("knn_token_overlap", """WITH t AS (SELECT DISTINCT o_custkey AS id, o_orderpriority || strftime(o_orderdate, '%Y%m') AS token FROM orders WHERE o_custkey % 10 = 0),
-u AS (SELECT token FROM t GROUP BY 1 HAVING count(*) BETWEEN 2 AND 100000), f AS (SELECT * FROM t SEMI JOIN u USING (token)),
-s AS (SELECT a.id, b.id AS other, count(*) AS shared FROM f a JOIN f b ON a.token = b.token AND a.id <> b.id GROUP BY 1, 2)
+@query("knn_token_overlap", """WITH t AS (SELECT DISTINCT o_custkey AS id, o_orderpriority || strftime(o_orderdate, '%Y%m') AS token FROM orders),
+s AS (SELECT a.id, b.id AS other, count(*) AS shared FROM t a JOIN t b ON a.id % 50 = 0 AND a.token = b.token AND a.id <> b.id GROUP BY 1, 2)
 SELECT id, other, shared, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, other) AS rank FROM s) WHERE rank <= 3""")
 def knn_token_overlap(spark, sf_dir):
-    return nearest_customers(table(spark, sf_dir, "orders").where("o_custkey % 10 = 0"))
-
-
-@query("knn_token_overlap_all")
-def knn_token_overlap_all(spark, sf_dir):
-    return nearest_customers(table(spark, sf_dir, "orders"))
-
-
-def nearest_customers(orders):
-    t = orders.select(F.col("o_custkey").alias("id"), F.concat("o_orderpriority", F.date_format("o_orderdate", "yyyyMM")).alias("token"))
-    return joins.nearest_by_overlap(t, 3, 100_000).withColumn("rank", F.col("rank").cast("long"))
+    """Of every fiftieth customer against all."""
+    t = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.concat("o_orderpriority", F.date_format("o_orderdate", "yyyyMM")).alias("token"))
+    return joins.nearest_by_overlap(t, 3, 100_000, F.col("id") % 50 == 0).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("knn_min_kernel", """WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS vec FROM embeddings),
@@ -231,19 +225,10 @@ def knn_min_kernel(spark, sf_dir):
     return rounded(joins.nearest_by_min_kernel(v, v.where("id % 25 = 0"), 5), "similarity").withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("box_query", "SELECT l_orderkey, l_linenumber, s_suppkey FROM lineitem JOIN supplier ON l_quantity BETWEEN s_suppkey % 40 AND s_suppkey % 40 + 3 AND l_tax * 100 BETWEEN s_suppkey % 7 AND s_suppkey % 7 + 0.5 WHERE s_suppkey <= 20")
+@query("box_query", "SELECT l_orderkey, l_linenumber, s_suppkey FROM lineitem JOIN supplier ON l_quantity BETWEEN s_suppkey % 40 AND s_suppkey % 40 + 3 AND l_tax * 100 BETWEEN s_suppkey % 7 AND s_suppkey % 7 + 0.5")
 def box_query(spark, sf_dir):
-    return lines_in_boxes(spark, sf_dir, table(spark, sf_dir, "supplier").where("s_suppkey <= 20"))
-
-
-@query("box_query_all")
-def box_query_all(spark, sf_dir):
-    return lines_in_boxes(spark, sf_dir, table(spark, sf_dir, "supplier"))
-
-
-def lines_in_boxes(spark, sf_dir, suppliers):
     k = F.col("s_suppkey")
-    boxes = suppliers.select("s_suppkey", (k % 40).alias("x0"), (k % 40 + 3).alias("x1"), (k % 7).alias("y0"), (k % 7 + 0.5).alias("y1"))
+    boxes = table(spark, sf_dir, "supplier").select("s_suppkey", (k % 40).alias("x0"), (k % 40 + 3).alias("x1"), (k % 7).alias("y0"), (k % 7 + 0.5).alias("y1"))
     points = table(spark, sf_dir, "lineitem").select(*LINE, F.col("l_quantity").alias("px"), (F.col("l_tax") * 100).alias("py"))
     return joins.box_query(points, boxes, 4.0).select(*LINE, "s_suppkey")
 
@@ -304,9 +289,11 @@ def roc_auc(spark, sf_dir):
     return rounded(evaluation.roc_auc(records(spark, sf_dir).withColumn("side", evaluation.side()), "side"), "AUC", digits=8)
 
 
-@query("auc_folds")
+@query("auc_folds", f"""WITH {RECORDS.replace("'HOLD' END AS side", "'HOLD' END AS side, CAST('0x' || substr(md5('fold:' || l_orderkey || ':' || l_linenumber), 1, 13) AS BIGINT) % 5 AS fold")},
+auc AS ({AUC.format(k='side, fold').replace('round(', '(').replace(', 8) AS AUC', ') AS AUC')})
+SELECT side, round(avg(AUC), 8) AS AUC, round(stddev_pop(AUC), 8) AS AUC_STDDEV, round(min(AUC), 8) AS AUC_MIN, round(max(AUC), 8) AS AUC_MAX FROM auc GROUP BY 1""")
 def auc_folds(spark, sf_dir):
-    return evaluation.auc_folds(records(spark, sf_dir), LINE)
+    return rounded(evaluation.auc_folds(records(spark, sf_dir), LINE), "AUC", "AUC_STDDEV", "AUC_MIN", "AUC_MAX", digits=8)
 
 
 @query("pr_auc", f"""WITH {RECORDS}, h AS (SELECT side, score, count(*) FILTER (label > 0) AS p, count(*) FILTER (label <= 0) AS n FROM rec GROUP BY 1, 2),
@@ -341,16 +328,22 @@ def histogram_calibrator(spark, sf_dir):
     return rounded(evaluation.histogram_calibrator(records(spark, sf_dir), 20), "lo", "hi", "cdf", digits=7)
 
 
-@query("histogram_calibrated")
+@query("histogram_calibrated", f"""WITH {HISTOGRAM}, at_ AS (SELECT rec.*, h.lo, h.hi, h.cdf, coalesce(p.cdf, 0) AS below FROM rec JOIN hist h ON h.bucket = (SELECT max(bucket) FROM hist WHERE lo <= rec.score OR bucket = 0) LEFT JOIN hist p ON p.bucket = h.bucket - 1)
+SELECT l_orderkey, l_linenumber, round(below + least(1.0, greatest(0.0, coalesce((score - lo) / nullif(hi - lo, 0), 1.0))) * (cdf - below), 7) AS calibrated FROM at_""")
 def histogram_calibrated(spark, sf_dir):
     r = records(spark, sf_dir)
-    return evaluation.calibrate_by_histogram(r, evaluation.histogram_calibrator(r, 20)).select(*LINE, "calibrated")
+    return rounded(evaluation.calibrate_by_histogram(r, evaluation.histogram_calibrator(r, 20)).select(*LINE, "calibrated"), "calibrated", digits=7)
 
 
-@query("platt_fit")
+@query("platt_fit", f"""WITH RECURSIVE {RECORDS}, h AS (SELECT score AS s, CASE WHEN label > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y, count(*) AS n FROM rec GROUP BY 1, 2),
+step(k, a, b) AS (SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE UNION ALL
+  SELECT k, a + ((h11 + 1e-6) * g0 - h01 * g1) / ((h00 + 1e-6) * (h11 + 1e-6) - h01 * h01), b + ((h00 + 1e-6) * g1 - h01 * g0) / ((h00 + 1e-6) * (h11 + 1e-6) - h01 * h01) FROM (
+    SELECT k + 1 AS k, a, b, sum(n * (y - p)) AS g0, sum(n * (y - p) * s) AS g1, sum(n * p * (1 - p)) AS h00, sum(n * p * (1 - p) * s) AS h01, sum(n * p * (1 - p) * s * s) AS h11
+    FROM (SELECT k, a, b, s, y, n, 1 / (1 + exp(-(a + b * s))) AS p FROM step, h WHERE k < 25) GROUP BY k, a, b))
+SELECT round(a, 6) AS "offset", round(b, 6) AS slope FROM step WHERE k = 25""")
 def platt_fit(spark, sf_dir):
     a, b = evaluation.platt_fit(records(spark, sf_dir))
-    return spark.createDataFrame([(a, b)], "offset double, slope double")
+    return spark.createDataFrame([(round(a, 6), round(b, 6))], "offset double, slope double")
 
 
 def multiclass_records(spark, sf_dir):

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.features import difference
+from tessella.features import difference, flatten, ingest
 from tessella.functions import scalar
 from tessella.models import policies
 from tessella.operators import strategy
-from tessella.queries.analysis import LONG, long, rounded
+from tessella.queries.analysis import LONG, rounded
 from tessella.queries.base import LINE, query, table
 from tessella.queries.modelling import W_SQL, strings_only, weights
 
@@ -66,7 +66,8 @@ def policy_greedy(spark, sf_dir):
     return policies.epsilon_greedy(scores, ["o_custkey"], "o_orderkey", 0.0)
 
 
-@query("policy_softmax")
+@query("policy_softmax", f"""SELECT o_custkey, arg_min(o_orderkey, (noisy, o_orderkey)) AS o_orderkey FROM (
+  SELECT o_custkey, o_orderkey, -(o_totalprice / 50000 / 0.5 - ln(-ln(CAST('0x' || substr(md5('0:' || o_custkey || ':' || o_orderkey), 1, 13) AS BIGINT) / {float(1 << 52)!r}::DOUBLE + 0.5 / {float(1 << 52)!r}::DOUBLE))) AS noisy FROM orders) GROUP BY 1""")
 def policy_softmax(spark, sf_dir):
     scores = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_totalprice") / 50000).alias("score"))
     return policies.softmax_policy(scores, ["o_custkey"], "o_orderkey", 0.5)
@@ -83,11 +84,14 @@ def sarsa_update(spark, sf_dir):
     return rounded(policies.sarsa_update(weights(spark), x, following, rewards, LINE, 0.001, 0.9), "weight", digits=8)
 
 
-@query("feature_difference", f"WITH {LONG}, b AS (SELECT l_orderkey, l_linenumber, family, feature, CASE WHEN feature = 'qty' THEN least(value, 40) ELSE value END AS value FROM long WHERE feature <> 'N') SELECT l_orderkey, l_linenumber, family, feature, long.value AS value_a, b.value AS value_b FROM long FULL JOIN b USING (l_orderkey, l_linenumber, family, feature) WHERE long.value IS DISTINCT FROM b.value")
+@query("feature_difference", """WITH a AS (SELECT o_orderkey, 'f' AS family, 'price' AS feature, o_totalprice AS value FROM orders UNION ALL SELECT o_orderkey, 's', o_orderstatus, 1.0 FROM orders UNION ALL SELECT o_orderkey, 'BIAS', 'B', 1.0 FROM orders),
+b AS (SELECT o_orderkey, family, feature, CASE WHEN feature = 'price' THEN least(value, 100000) ELSE value END AS value FROM a WHERE feature <> 'P')
+SELECT o_orderkey, family, feature, a.value AS value_a, b.value AS value_b FROM a FULL JOIN b USING (o_orderkey, family, feature) WHERE a.value IS DISTINCT FROM b.value""")
 def feature_difference(spark, sf_dir):
-    a = long(spark, sf_dir)
-    b = a.where("feature <> 'N'").withColumn("value", F.when(F.col("feature") == "qty", F.least("value", F.lit(40.0))).otherwise(F.col("value")))
-    return difference(a, b, LINE)
+    flat = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("f_price"), F.col("o_orderstatus").alias("s_RAW"))
+    a = flatten(ingest(flat, ["o_orderkey"]), ["o_orderkey"], skip=["MISS"])
+    b = a.where("feature <> 'P'").withColumn("value", F.when(F.col("feature") == "price", F.least("value", F.lit(100000.0))).otherwise(F.col("value")))
+    return difference(a, b, ["o_orderkey"])
 
 
 @query("loss_functions", "SELECT l_orderkey, l_linenumber, round(-y * ln(p) - (1 - y) * ln(1 - p), 9) AS log_loss, round(abs((p - q) / q), 9) AS relative_loss FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y, l_quantity / 51.0 AS p, l_tax + 0.5 AS q FROM lineitem)")

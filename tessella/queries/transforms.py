@@ -177,9 +177,9 @@ def self_crossed(spark, sf_dir):
     return string_rows(build({"transform": "self_cross", "field1": "meta", "output": "x"})(documents(spark, sf_dir)), "x", ["doc_id"])
 
 
-@query("transform_normalize_utf8", "SELECT doc_id, nfc_normalize(source || ' ' || lang) AS feature FROM documents")
+@query("transform_normalize_utf8", "SELECT doc_id, nfc_normalize(text) AS feature FROM documents WHERE text IS NOT NULL")
 def normal(spark, sf_dir):
-    fs = FeatureSet(table(spark, sf_dir, "documents").select("doc_id", F.array(F.concat_ws(" ", "source", "lang")).alias("s:n")))
+    fs = FeatureSet(table(spark, sf_dir, "documents").select("doc_id", F.array("text").alias("s:n")).where("text IS NOT NULL"))
     return string_rows(build({"transform": "normalize_utf8", "field1": "n", "normalization_form": "NFC", "output": "o"})(fs), "o", ["doc_id"])
 
 

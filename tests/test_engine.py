@@ -252,12 +252,46 @@ def test_overlap_counts_long_lists_exactly(spark):
         assert got == {(i, n): b for i in best for n, b in enumerate(best[i], 1)}
 
 
-def test_overlap_of_all_customers(spark):
-    from tessella.queries import analysis
-
-    sf = "/root/testdata/sf0.001"
-    ids = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct().count()
-    assert analysis.knn_token_overlap_all(spark, sf).select("id").distinct().count() == ids
+def test_overlap_of_asked_ids_is_that_of_all(spark):
+    r = np.random.default_rng(5)
+    t = spark.createDataFrame([(int(i), f"t{x}") for i in range(60) for x in r.integers(0, 9, 4)], "id long, token string")
+    every = joins.nearest_by_overlap(t, 3, 7).where("id % 5 = 0")
+    asked = joins.nearest_by_overlap(t, 3, 7, F.col("id") % 5 == 0)
+    assert asked.count() == 36 and asked.exceptAll(every).count() == 0
+
+
+def test_lookup_beyond_its_broadcast_is_the_same_join(spark):
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, F.lit("B")).otherwise(F.concat(F.lit("k"), F.col("id") % 700)).alias("feature"))
+    keyed = spark.range(600).select(F.concat(F.lit("k"), "id").alias("feature"), F.col("id").alias("w")).unionByName(spark.createDataFrame([("B", -1)], "feature string, w long"))
+    want = rows.join(keyed, "feature")
+    for most in (10_000, 100):
+        got = joins.lookup(rows, keyed, ["feature"], most).select(*want.columns)
+        assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    plan = joins.lookup(rows, keyed, ["feature"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_running_sums_over_ranges(spark):
+    r = np.random.default_rng(3)
+    rows = sorted({(k, float(x)) for k, x in zip("aab" * 400, r.normal(size=1200).round(3), strict=True)})
+    df = spark.createDataFrame([(k, x, i % 7, i % 3) for i, (k, x) in enumerate(rows)], "k string, x double, p long, n long")
+    got = {(g["k"], g["x"]): (g["below_p"], g["below_n"]) for g in statistics.running_sums(df, ["k"], "x", ["p", "n"]).collect()}
+    sums = {}
+    for i, (k, x) in enumerate(rows):
+        p, n = sums.get(k, (0, 0))
+        assert got[k, x] == (p, n)
+        sums[k] = (p + i % 7, n + i % 3)
+    plan = statistics.running_sums(df, ["k"], "x", ["p"])._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "SinglePartition" not in plan
+
+
+def test_shards_follow_the_rows(spark):
+    from tessella.training.sparse import in_shards
+
+    df = spark.range(1000).withColumn("label", F.lit(1.0))
+    assert in_shards(df, 2, ["id"]).select("_bag").distinct().count() == 2
+    placed = in_shards(df, 2, ["id"], 100)
+    assert placed.select("_bag").distinct().count() == 10 and placed.rdd.getNumPartitions() == 10
 
 
 def test_per_key_above_the_bound(spark):
@@ -281,6 +315,5 @@ def test_box_query_of_all_suppliers(tmp_path, spark):
     rows = [(i, 1, float(i % 50 + 1), i % 9 / 100) for i in range(450)]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
     want = {(o, n, k) for o, n, q, t in rows for k in range(1, 101) if k % 40 <= q <= k % 40 + 3 and k % 7 <= t * 100 <= k % 7 + 0.5}
-    got = [tuple(r) for r in analysis.box_query_all(spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in analysis.box_query(spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want and max(k for *_, k in got) > 20
-    assert {tuple(r) for r in analysis.box_query(spark, str(tmp_path)).collect()} == {w for w in want if w[2] <= 20}
