@@ -266,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, docs_a_class: int = DOCS_A_CLASS, n_
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     met = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # more than chosen where ids repeat
     h = F.xxhash64("doc_id", "text")
-    few = rows.where(F.pmod(h, F.lit(1 << 20)) < part({t: n - docs_a_class if n > 2 * docs_a_class else 1 for t, n in met.items()}))
+    few = rows.where(F.pmod(h, F.lit(1 << 20)) < part({t: n if n > 2 * docs_a_class else 1 for t, n in met.items()}))
     sample = checkpointed(few.withColumn("h", h).dropDuplicates(["doc_id", "h"]).select("h", "toxic", "text").repartition(16, "h"))
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(totals) < 2:
