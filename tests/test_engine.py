@@ -315,5 +315,22 @@ def test_box_query_of_all_suppliers(tmp_path, spark):
     rows = [(i, 1, float(i % 50 + 1), i % 9 / 100) for i in range(450)]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
     want = {(o, n, k) for o, n, q, t in rows for k in range(1, 101) if k % 40 <= q <= k % 40 + 3 and k % 7 <= t * 100 <= k % 7 + 0.5}
-    got = [tuple(r) for r in analysis.box_query(spark, str(tmp_path)).collect()]
+    rows = analysis.box_query(spark, str(tmp_path)).collect()
+    point = {(r["l_orderkey"], r["l_linenumber"]): r for r in rows if r["kind"] == "line"}
+    box = {r["s_suppkey"]: r for r in rows if r["kind"] == "supplier"}
+    pairs = {(r["c_l_orderkey"], r["c_l_linenumber"], r["c_s_suppkey"]): r["links"] for r in rows if r["kind"] == "pair"}
+    assert (len(point), len(box)) == (450, 100) and len(point) + len(box) + len(pairs) == len(rows)
+    got = [(*p, k) for p, r in point.items() for k, b in box.items() if (r["c_l_orderkey"], r["c_l_linenumber"], b["c_s_suppkey"]) in pairs]
     assert len(got) == len(want) and set(got) == want and max(k for *_, k in got) > 20
+    assert sum(pairs.values()) == len(want)
+    assert all(r["links"] == sum(p == w[:2] for w in want) for p, r in list(point.items())[::20]) and all(b["links"] == sum(k == w[2] for w in want) for k, b in box.items())
+
+
+def test_box_links_grow_with_the_rows(spark):
+    """Equal points and boxes make no row a pair: 4,000 points in each of 300 boxes are a million pairs."""
+    points = spark.range(4000).select(F.col("id").alias("o"), (F.col("id") % 3).alias("n"), F.when(F.col("id") != 7, 1.5).alias("px"), F.lit(2.0).alias("py"))
+    boxes = spark.range(300).select(F.col("id").alias("k"), F.lit(1).alias("x0"), F.lit(2).alias("x1"), F.lit(1).alias("y0"), F.lit(3).alias("y1"))
+    p, b, pairs = joins.box_links(points, ["o", "n"], boxes, ["k"], 4.0)
+    assert [tuple(r) for r in pairs.collect()] == [(0, 0, 0, 3999 * 300)]
+    assert p.where("links = 300 AND c_o = 0 AND c_n = 0").count() == 3999 and [tuple(r) for r in p.where("links = 0").collect()] == [(7, 1, 7, 1, 0)]
+    assert b.where("links = 3999 AND c_k = 0").count() == 300
