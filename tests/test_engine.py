@@ -334,3 +334,53 @@ def test_box_links_grow_with_the_rows(spark):
     assert [tuple(r) for r in pairs.collect()] == [(0, 0, 0, 3999 * 300)]
     assert p.where("links = 300 AND c_o = 0 AND c_n = 0").count() == 3999 and [tuple(r) for r in p.where("links = 0").collect()] == [(7, 1, 7, 1, 0)]
     assert b.where("links = 3999 AND c_k = 0").count() == 300
+
+
+def test_overlap_makes_no_row_a_pair(spark):
+    """A token that all of 20,000 ids hold: its pairs with 40 queries would be 800,000 rows of a shuffle."""
+    t = spark.range(20_000).select("id", F.explode(F.array(F.lit("all"), F.concat(F.lit("t"), F.col("id") % 5000))).alias("token"))
+    near = joins.nearest_by_overlap(t, 2, 5000, F.col("id") % 500 == 0, 16)
+    assert "Join" not in near._jdf.queryExecution().executedPlan().toString()
+    want = {(i, n): (2, o) for i in range(0, 20_000, 500) for n, o in enumerate([o for o in range(i % 5000, 20_000, 5000) if o != i][:2], 1)}
+    assert {(r["id"], r["rank"]): (r["shared"], r["other"]) for r in near.collect()} == want
+
+
+def test_overlap_of_many_tokens_and_null_ones(spark):
+    rows = [(f"i{i:03}", f"t{t}") for i in range(40) for t in range(i * 10)] + [("i001", None), (None, "t0")]
+    got = {(r["id"], r["rank"]): (r["shared"], r["other"]) for r in joins.nearest_by_overlap(spark.createDataFrame(rows, "id string, token string"), 2, 9, None, 7).collect()}
+    held = {f"i{i:03}": i * 10 for i in range(1, 40)}
+    best = {i: sorted((-min(n, m), j) for j, m in held.items() if j != i)[:2] for i, n in held.items()}
+    assert got == {(i, r): (-s, j) for i, b in best.items() for r, (s, j) in enumerate(b, 1)}
+
+
+def test_min_kernel_in_tiles_is_brute_force(spark):
+    """Ties, repeated ids, other lengths, nulls and NaN among plain vectors."""
+    r = np.random.default_rng(8)
+    plain = [(i % 290, [float(x) for x in r.integers(0, 4, 6) / 4]) for i in range(300)]
+    odd = [(1000, [0.5, 0.25]), (1001, [float("nan")] * 6), (1002, [None, 1.0, 1.0, 1.0, 1.0, 1.0]), (1003, [None] * 6), (1004, None), (1005, [1.0] * 9), (None, [1.0] * 6)]
+
+    def score(a, b):
+        if a is None or b is None:
+            return None
+        total = 0.0
+        for i in range(max(len(a), len(b))):
+            both = [v[i] for v in (a, b) if i < len(v) and v[i] is not None]
+            if not both:
+                return None
+            total += min(both, key=lambda x: (x != x, x))
+        return total
+
+    def order(s, j):
+        return (s is None, s == s if s is not None else True, -s if s is not None and s == s else 0.0, j)
+
+    for rows in (plain, plain + odd):
+        v = spark.createDataFrame(rows, "id long, vec array<double>")
+        near = joins.nearest_by_min_kernel(v, v.where("id % 7 = 0 OR id > 1000"), 4, 50, 16)
+        got = {(x["id"], x["rank"]): (x["similarity"], x["other"]) for x in near.collect()}
+        want = {}
+        for i in {i for i, _ in rows if i is not None and (i % 7 == 0 or i > 1000)}:
+            pairs = sorted((order(s := score(a, b), j), s, j) for k, a in rows if k == i for j, b in rows if j is not None and j != i)
+            want |= {(i, n): (s, j) for n, (_, s, j) in enumerate(pairs[:4], 1)}
+        assert set(got) == set(want) and all(repr(got[k]) == repr(want[k]) for k in want)
+    plan = joins.nearest_by_min_kernel(spark.createDataFrame(plain, "id long, vec array<double>"), spark.createDataFrame(plain[:5], "id long, vec array<double>"), 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan
