@@ -1,7 +1,7 @@
 """Models by key: the bounded strategy regression and boosted trees, one group of samples of bounded size a key.
 
-A key's samples are trained in one task, as each key has a model of its own; ``max_samples`` bounds them. Strategy keys
-above it are split off by ``oversized`` and trained over all partitions by ``fit_large``.
+A key's samples are trained in one task, as each key has a model of its own; ``max_samples`` bounds them. Keys above it are
+trained over all partitions, by ``fit_large`` (strategies) and ``boost_large`` (trees, whose equal rows count as one).
 """
 
 from __future__ import annotations
@@ -27,6 +27,15 @@ def bounds(label: bool, pivot: float, observed: float, true_value: float | None,
     return 0.0, min(pivot, observed)
 
 
+def _intervals(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """``bounds`` of all rows as columns."""
+    number = lambda c: pd.to_numeric(pdf[c]).to_numpy(float)
+    label, pivot, observed, true = pdf["label"].to_numpy(bool), number("base_pivot"), number("observed_value"), number("true_value")
+    known = np.where(np.isnan(true), observed, true)
+    top = np.where(known == 0, observed, known)
+    return np.where(label, known * 0.9, 0.0), np.where(label, np.where(top > observed, top, observed) * 1.1, np.where(observed < pivot, observed, pivot))
+
+
 def predict(params: Sequence[float], x: np.ndarray, pivot: np.ndarray) -> np.ndarray:
     a, b, c = params
     return (1 + a * np.tanh(b * x + c)) * pivot
@@ -36,7 +45,7 @@ def fit_key(pdf: pd.DataFrame, *, rate: float = 0.05, epochs: int = 40, batch: i
     """The epoch of least loss of mini-batch descent, kept in its box after every step. Only predictions outside their
     interval have a loss: the distance to it, over the pivot."""
     x, pivot = pdf["x"].to_numpy(float), pdf["base_pivot"].to_numpy(float)
-    lo, hi = np.array([bounds(bool(r.label), r.base_pivot, r.observed_value, None if pd.isna(r.true_value) else r.true_value) for r in pdf.itertuples()]).T
+    lo, hi = _intervals(pdf)
     p, random = np.array(start, float), np.random.default_rng(seed)
 
     def loss(p: np.ndarray) -> float:
@@ -76,10 +85,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _intervals(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([bounds(bool(r.label), r.base_pivot, r.observed_value, None if pd.isna(r.true_value) else r.true_value) for r in pdf.itertuples()]).T
-
-
 def fit_large(rows: DataFrame, *, rate: float = 0.05, epochs: int = 40, batch: int = 32, box: tuple = ((0.0, 1.0), (0.01, 10.0), (-5.0, 5.0)), start: tuple = (0.2, 1.0, 0.0), seed: int = 1) -> DataFrame:
     """A row of OUTPUT for every id, whatever its number of rows: in every epoch each partition goes on from the id's
     parameters over its own rows, batch by batch, and the ids' new parameters are the partitions' means by rows. Losses
@@ -167,12 +172,13 @@ def score_strategy(samples: DataFrame, models: DataFrame) -> DataFrame:
     return j.withColumn("prediction", (1 + F.col("a") * F.tanh(F.col("b") * F.col("x") + F.col("c"))) * F.col("base_pivot"))
 
 
-def boost_key(x: np.ndarray, y: np.ndarray, *, rounds: int = 20, eta: float = 0.3, max_depth: int = 2, min_child: float = 1.0, ridge: float = 1.0) -> list[list[tuple]]:
-    """Second-order boosted trees of logistic loss; a tree is a list of (axis, cut, left, right) or (-1, value, 0, 0)."""
-    score, trees = np.zeros(len(y)), []
+def boost_key(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, *, rounds: int = 20, eta: float = 0.3, max_depth: int = 2, min_child: float = 1.0, ridge: float = 1.0) -> list[list[tuple]]:
+    """Second-order boosted trees of logistic loss; a tree is a list of (axis, cut, left, right) or (-1, value, 0, 0). A row
+    of weight n is n equal rows."""
+    score, trees, weight = np.zeros(len(y)), [], np.ones(len(y)) if weight is None else weight
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        g, h, tree = p - y, np.maximum(p * (1 - p), 1e-12), []
+        g, h, tree = weight * (p - y), weight * np.maximum(p * (1 - p), 1e-12), []
 
         def grow(rows: np.ndarray, depth: int, g=g, h=h, tree=tree) -> int:
             at, gs, hs = len(tree), g[rows].sum(), h[rows].sum()
@@ -199,38 +205,140 @@ def boost_key(x: np.ndarray, y: np.ndarray, *, rounds: int = 20, eta: float = 0.
     return trees
 
 
+def boost_leaf(tree: list[tuple], x: np.ndarray) -> np.ndarray:
+    """The node that every row ends in."""
+    at = np.zeros(len(x), int)
+    axis, cut, left, right = (np.array(c) for c in zip(*tree, strict=True))
+    while (axis[at] >= 0).any():
+        a = axis[at]
+        go = np.where(x[np.arange(len(x)), np.maximum(a, 0)] < cut[at], left[at], right[at])
+        at = np.where(a >= 0, go, at)
+    return at
+
+
 def boost_score(trees: list[list[tuple]], x: np.ndarray) -> np.ndarray:
     out = np.zeros(len(x))
     for tree in trees:
-        at = np.zeros(len(x), int)
-        axis, cut, left, right = (np.array(c) for c in zip(*tree, strict=True))
-        while (axis[at] >= 0).any():
-            a = axis[at]
-            go = np.where(x[np.arange(len(x)), np.maximum(a, 0)] < cut[at], left[at], right[at])
-            at = np.where(a >= 0, go, at)
-        out += cut[at]
+        out += np.array([n[1] for n in tree])[boost_leaf(tree, x)]
+    return out
+
+
+def boost_large(rows: DataFrame, features: Sequence[str], *, rounds: int = 20, eta: float = 0.3, max_depth: int = 2, min_child: float = 1.0, ridge: float = 1.0) -> dict[str, list[list[tuple]]]:
+    """The trees of ``boost_key`` for every id of (id, y, w, features), whatever its number of rows: slopes are summed by id,
+    node, axis and value, and running sums over ranges of values give the gain of every cut. The driver holds the trees."""
+    from tessella.operators.statistics import running_sums
+
+    names, trees = list(features), {r["id"]: [] for r in rows.select("id").distinct().collect()}
+    for _ in range(rounds):
+        growing = {k: [(-1, 0.0, 0, 0)] for k in trees}
+        depth_of, todo = {(k, 0): 0 for k in trees}, {(k, 0) for k in trees}
+        while todo:
+            def slopes(parts, trees=trees, growing=growing, todo=todo):
+                for pdf in parts:
+                    for key, part in pdf.groupby("id"):
+                        x = part[names].to_numpy(float)
+                        p = 1 / (1 + np.exp(-np.clip(boost_score(trees[key], x), -30, 30)))
+                        w, y, at = part["w"].to_numpy(float), part["y"].to_numpy(float), boost_leaf(growing[key], x)
+                        g, h, on = w * (p - y), w * np.maximum(p * (1 - p), 1e-12), np.isin(at, [n for k, n in todo if k == key])
+                        for axis in range(len(names)):
+                            out = pd.DataFrame({"node": at, "value": x[:, axis], "g": g, "h": h})[on].groupby(["node", "value"], as_index=False).sum()
+                            yield out.assign(id=key, axis=axis)[["id", "node", "axis", "value", "g", "h"]]
+
+            keys = ["id", "node", "axis"]
+            sums = checkpointed(rows.mapInPandas(slopes, "id string, node int, axis int, value double, g double, h double").groupBy(*keys, "value").agg(F.sum("g").alias("g"), F.sum("h").alias("h")))
+            totals = {(r["id"], r["node"]): (r["gs"], r["hs"]) for r in sums.where("axis = 0").groupBy("id", "node").agg(F.sum("g").alias("gs"), F.sum("h").alias("hs")).collect()}
+            best = {}
+            deeper = [n for n in todo if depth_of[n] < max_depth]
+            if deeper:
+                whole = rows.sparkSession.createDataFrame([(k, n, *map(float, totals[k, n])) for k, n in deeper], "id string, node int, gs double, hs double")
+                below = running_sums(sums, keys, "value", ["g", "h"]).join(F.broadcast(whole), ["id", "node"])
+                gl, hl, gs, hs = (F.col(c) for c in ("below_g", "below_h", "gs", "hs"))
+                gain = gl * gl / (hl + ridge) + (gs - gl) * (gs - gl) / (hs - hl + ridge) - gs * gs / (hs + ridge)
+                cuts = below.where((hl >= min_child) & (hs - hl >= min_child) & (hl > 0)).withColumn("gain", gain).where("gain > 1e-6")
+                found = {(r["id"], r["node"]): r["b"] for r in cuts.groupBy("id", "node").agg(F.min(F.struct((-F.col("gain")).alias("worst"), "axis", "value")).alias("b")).collect()}
+                if found:
+                    at = rows.sparkSession.createDataFrame([(k, n, b["axis"], b["value"]) for (k, n), b in found.items()], "id string, node int, axis int, right double")
+                    for r in sums.join(F.broadcast(at), keys).where("value < right").groupBy(*keys, "right").agg(F.max("value").alias("left")).collect():
+                        best[r["id"], r["node"]] = (r["axis"], (r["left"] + r["right"]) / 2)
+            after = set()
+            for k, n in sorted(todo):
+                gs, hs = totals[k, n]
+                tree = growing[k]
+                tree[n] = (-1, float(-eta * gs / (hs + ridge)), 0, 0)
+                if (k, n) in best:
+                    tree[n] = (*best[k, n], len(tree), len(tree) + 1)
+                    for child in tree[n][2:]:
+                        tree.append((-1, 0.0, 0, 0))
+                        depth_of[k, child] = depth_of[k, n] + 1
+                        after.add((k, child))
+            todo = after
+        trees = {k: [*trees[k], preordered(growing[k])] for k in trees}
+    return trees
+
+
+def preordered(tree: list[tuple]) -> list[tuple]:
+    """A tree numbered as ``boost_key`` numbers its nodes: a node, its left side, its right side."""
+    out: list[tuple] = []
+
+    def put(n: int) -> int:
+        axis, cut, left, right = tree[n]
+        at = len(out)
+        out.append((axis, cut, 0, 0))
+        if axis >= 0:
+            a = put(left)
+            out[at] = (axis, cut, a, put(right))
+        return at
+
+    put(0)
     return out
 
 
 BOOSTED = "id string, trees string, loss double, auc double, n long"
 
 
-def train_boosted(rows: DataFrame, features: Sequence[str], label: str, key: str, **options) -> DataFrame:
-    """A boosted model (JSON) for every key, with its training loss and AUC. Null features are -1."""
+def train_boosted(rows: DataFrame, features: Sequence[str], label: str, key: str, *, max_samples: int = 1_000_000, **options) -> DataFrame:
+    """A boosted model (JSON) for every key, with its training loss and AUC. Null features are -1.
+
+    Equal rows of a key are one row with their number as weight. A key trains in one task by its different rows; keys with
+    over ``max_samples`` of them train over all partitions (``boost_large``), to the same trees."""
     import json
 
     data = rows.select(F.col(key).cast("string").alias("id"), F.col(label).cast("double").alias("y"), *[F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c) for c in features])
+    data = checkpointed(data.groupBy("id", "y", *features).agg(F.count(F.lit(1)).alias("w")))
+    large = [r["id"] for r in data.groupBy("id").count().where(F.col("count") > max_samples).select("id").collect()]
 
     def work(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([*features, "y"])
-        x, y = pdf[list(features)].to_numpy(float), pdf["y"].to_numpy()
-        trees = boost_key(x, y, **options)
+        x, y, w = pdf[list(features)].to_numpy(float), pdf["y"].to_numpy(), pdf["w"].to_numpy(float)
+        trees = boost_key(x, y, w, **options)
         s = boost_score(trees, x)
-        rank, pos = pd.Series(s).rank().to_numpy(), y > 0
-        auc = (rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum()) if 0 < pos.sum() < len(y) else float("nan")
-        return pd.DataFrame([(k[0], json.dumps(trees), float(np.logaddexp(0, np.where(pos, -s, s)).mean()), float(auc), len(y))], columns=["id", "trees", "loss", "auc", "n"])
-
-    return data.groupBy("id").applyInPandas(work, BOOSTED)
+        pos = y > 0
+        at = np.unique(s, return_inverse=True)[1]
+        n_pos, n_neg = np.bincount(at, w * pos), np.bincount(at, w * ~pos)
+        auc = float((n_pos * (np.cumsum(n_neg) - n_neg / 2)).sum() / (n_pos.sum() * n_neg.sum())) if n_pos.sum() and n_neg.sum() else float("nan")
+        return pd.DataFrame([(k[0], json.dumps(trees), float((w * np.logaddexp(0, np.where(pos, -s, s))).sum() / w.sum()), auc, int(w.sum()))], columns=["id", "trees", "loss", "auc", "n"])
+
+    if not large:
+        return data.groupBy("id").applyInPandas(work, BOOSTED)
+    is_large = F.coalesce(F.col("id").isin([k for k in large if k is not None]), F.lit(None in large))
+    some = data.where(is_large).withColumn("id", F.coalesce("id", F.lit("\0null")))
+    models = boost_large(some, features, **options)
+
+    def scored(parts):
+        for pdf in parts:
+            for k, part in pdf.groupby("id"):
+                yield pd.DataFrame({"id": k, "score": boost_score(models[k], part[list(features)].to_numpy(float)), "label": (part["y"] > 0).astype(float), "w": part["w"].astype(float)})
+
+    from tessella.operators.statistics import running_sums
+
+    s = checkpointed(some.mapInPandas(scored, "id string, score double, label double, w double"))
+    z = F.when(F.col("label") > 0, -F.col("score")).otherwise(F.col("score"))
+    losses = s.groupBy("id").agg((F.sum(F.col("w") * (F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))))) / F.sum("w")).alias("loss"), F.sum("w").cast("long").alias("n"))
+    ties = s.groupBy("id", "score").agg(F.sum(F.when(F.col("label") > 0, F.col("w")).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("label") > 0, 0.0).otherwise(F.col("w"))).alias("q"))
+    area = running_sums(ties, ["id"], "score", ["q"]).groupBy("id").agg(F.coalesce(F.try_divide(F.sum(F.col("p") * (F.col("below_q") + F.col("q") / 2)), F.sum("p") * F.sum("q")), F.lit(float("nan"))).alias("auc"))
+    trained = rows.sparkSession.createDataFrame([(k, json.dumps(t)) for k, t in models.items()], "id string, trees string")
+    whole = trained.join(losses, "id").join(area, "id").select(F.when(F.col("id") != "\0null", F.col("id")).alias("id"), "trees", "loss", "auc", "n")
+    return data.where(~is_large).groupBy("id").applyInPandas(work, BOOSTED).unionByName(whole)
 
 
 def importance(models: DataFrame, features: Sequence[str]) -> DataFrame:

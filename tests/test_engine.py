@@ -4,6 +4,7 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -384,3 +385,51 @@ def test_min_kernel_in_tiles_is_brute_force(spark):
         assert set(got) == set(want) and all(repr(got[k]) == repr(want[k]) for k in want)
     plan = joins.nearest_by_min_kernel(spark.createDataFrame(plain, "id long, vec array<double>"), spark.createDataFrame(plain[:5], "id long, vec array<double>"), 4)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "MapInArrow" in plan
+
+
+def test_boosted_keys_of_any_size(spark):
+    """Trees from weighted, different rows and over all partitions are those of all rows in one task."""
+    import json
+
+    r = np.random.default_rng(6)
+    rows = [("abn"[i % 3], float(a), float(b), float(r.random() < 0.2 + 0.1 * a * (b > 2))) for i, (a, b) in enumerate(r.integers(0, 6, (1500, 2)))]
+    rows = [(k if k != "n" else None, *rest) for k, *rest in rows]
+    df = spark.createDataFrame(rows, "k string, x double, z double, y double")
+    options = {"rounds": 3, "max_depth": 3}
+    for most in (1_000_000, 10):
+        got = {m["id"]: m for m in perkey.train_boosted(df, ["x", "z"], "y", "k", max_samples=most, **options).collect()}
+        assert set(got) == {"a", "b", None}
+        for k, m in got.items():
+            own = np.array([v for i, *v in sorted(rows, key=repr) if i == k])
+            x, y = own[:, :2], own[:, 2]
+            trees = perkey.boost_key(x, y, **options)
+            s = perkey.boost_score(trees, x)
+            pairs = [(p > q) + (p == q) / 2 for p in s[y > 0] for q in s[y == 0]]
+            nodes = lambda t: np.array([n for tree in t for n in tree])
+            assert nodes(json.loads(m["trees"])) == pytest.approx(nodes(trees), abs=1e-9) and m["n"] == len(y) == 500
+            assert m["auc"] == pytest.approx(float(np.mean(pairs))) and m["loss"] == pytest.approx(float(np.logaddexp(0, np.where(y > 0, -s, s)).mean()))
+
+
+def test_boosted_key_meets_by_different_rows(spark, monkeypatch):
+    """40,000 rows of 12 kinds: the training task gets 12."""
+    import json
+
+    df = spark.range(40_000).select(F.lit("k").alias("k"), (F.col("id") % 6).cast("double").alias("x"), (F.col("id") % 4 == 0).cast("double").alias("y"))
+    monkeypatch.setattr(perkey, "boost_large", lambda *a, **b: pytest.fail("12 different rows are few"))
+    one = perkey.train_boosted(df, ["x"], "y", "k", max_samples=20, rounds=1).first()
+    assert one["n"] == 40_000 and json.loads(one["trees"])
+
+
+def test_intervals_are_those_of_single_rows():
+    pdf = pd.DataFrame([(a, p, o, t) for a in (True, False) for p in (0.0, 100.0, 90.5) for o in (0.0, 95.0, 120.0) for t in (None, 0.0, 80.0, 130.0)], columns=["label", "base_pivot", "observed_value", "true_value"])
+    want = [perkey.bounds(r.label, r.base_pivot, r.observed_value, None if pd.isna(r.true_value) else r.true_value) for r in pdf.itertuples()]
+    assert list(zip(*perkey._intervals(pdf), strict=True)) == want
+
+
+def test_feature_map_joins_without_a_shuffle_by_feature(spark):
+    from tessella.training import spatial
+
+    long = spark.range(1000).select(F.concat(F.lit("f"), F.col("id") % 2).alias("family"), F.concat(F.lit("x"), F.col("id") % 2).alias("feature"), F.col("id").cast("double").alias("value"))
+    plan = spatial.feature_map(long, min_count=10)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert spatial.feature_map(long, min_count=10).first()["count"] == 500
