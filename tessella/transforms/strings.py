@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessella.features import FeatureSet, Transform
-from tessella.functions.scalar import counts, no_strings, pairs, to_floats, union, upsert
+from tessella.functions.scalar import counts, no_strings, once, pairs, to_floats, union, upsert
 from tessella.transforms.registry import transform
 
 
@@ -85,7 +85,8 @@ def ngram(config) -> Transform:
         lists = F.filter(_tokens(source, config["regex"]), lambda t: F.size(t) >= least)
         found = counts(F.flatten(F.transform(lists, lambda t: F.concat(*[_grams(t, k) for k in range(least, n + 1)]))))
         base = F.coalesce(fs.floats(target), F.create_map().cast("map<string,double>"))
-        summed = F.map_zip_with(base, found, lambda k, a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
+        add = lambda new: F.map_zip_with(base, new, lambda k, a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
+        summed = once(found, lambda new: F.when(F.size(base) == 0, new).otherwise(add(new)))
         return fs.put(floats={target: F.when(source.isNull(), fs.floats(target)).otherwise(summed)})
 
     return run

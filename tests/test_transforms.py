@@ -174,3 +174,46 @@ def test_context_is_merged_once(spark):
     context = features(spark, {"who": ["me"]})
     fs = Transformer(config, "m")(items, context, ["id"])
     assert fs.df.select("s:o").first()[0] == ["ME^a=2"]
+
+
+def test_rows_of_a_family_are_computed_once(spark):
+    """An explode of an expression comes with a filter on the same expression, which computes it again."""
+    from pyspark.sql import functions as F
+
+    from tessella.features import FeatureSet, flatten
+    from tessella.queries.base import dense_rows, float_rows, string_rows
+
+    df = spark.createDataFrame([(1, ["a", "b"], {"x": 1.0}, [1.0, 2.0]), (2, [], {}, []), (3, None, None, None), (4, ["c", None], {"y": 2.0}, [None])], "id int, s array<string>, f map<string,double>, d array<double>")
+    fs = FeatureSet(df.select("id", F.transform("s", F.upper).alias("s:s"), F.transform_values("f", lambda k, v: v + 1).alias("f:f"), F.transform("d", lambda x: x * 2).alias("d:d")))
+    rows = lambda made: sorted(map(tuple, made.collect()), key=repr)
+    assert rows(string_rows(fs, "s", ["id"])) == [(1, "A"), (1, "B"), (4, "C"), (4, None)]
+    assert rows(float_rows(fs, "f", ["id"])) == [(1, "x", 2.0), (4, "y", 3.0)]
+    assert rows(dense_rows(fs, "d", ["id"])) == [(1, 0, 2.0), (1, 1, 4.0), (4, 0, None)]
+    assert rows(flatten(fs, ["id"])) == [(1, "f", "x", 2.0), (1, "s", "A", 1.0), (1, "s", "B", 1.0), (4, "f", "y", 3.0), (4, "s", "C", 1.0), (4, "s", None, 1.0)]
+    for made, name in ((string_rows(fs, "s", ["id"]), "upper"), (float_rows(fs, "f", ["id"]), "transform_values"), (dense_rows(fs, "d", ["id"]), "transform(")):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count(name) == 1
+
+
+def test_the_last_of_equal_keys_wins(spark):
+    from pyspark.sql import functions as F
+
+    from tessella.functions.scalar import to_floats, upsert
+
+    entries = [[("a", 1.0), ("b", 2.0), ("a", 3.0), ("c", None), ("b", 4.0)], [], None]
+    df = spark.createDataFrame(list(enumerate(entries)), "id int, e array<struct<key:string,value:double>>").select("id", to_floats(F.col("e")).alias("m"))
+    assert [r["m"] for r in df.orderBy("id").collect()] == [{"a": 3.0, "b": 4.0, "c": None}, {}, None]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan
+    put = df.select("id", *[upsert(b, F.col("m")).alias(n) for n, b in (("none", F.lit(None).cast("map<string,double>")), ("some", F.create_map(F.lit("a"), F.lit(9.0), F.lit("z"), F.lit(8.0))))])
+    assert [(r["none"], r["some"]) for r in put.orderBy("id").collect()] == [({"a": 3.0, "b": 4.0, "c": None}, {"a": 3.0, "b": 4.0, "c": None, "z": 8.0}), ({}, {"a": 9.0, "z": 8.0}), (None, None)]
+
+
+def test_sparse_rows_join_without_a_shuffle_by_feature(spark):
+    from pyspark.sql import functions as F
+
+    from tessella.training.sparse import index_features, sparse_rows
+
+    long = spark.range(60).select("id", F.lit("f").alias("family"), F.concat(F.lit("x"), F.col("id") % 3).alias("feature"), F.col("id").cast("double").alias("value"))
+    rows = sparse_rows(long, index_features(long).cache(), spark.range(70).withColumn("label", F.lit(1.0)), ["id"])
+    assert rows.where("size(indices) = 1 AND indices[0] = id % 3 AND values[0] = id").count() == 60 and rows.where("size(indices) = 0").count() == 10
+    assert "BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString()
