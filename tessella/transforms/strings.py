@@ -14,6 +14,10 @@ from tessella.functions.scalar import counts, no_strings, once, pairs, to_floats
 from tessella.transforms.registry import transform
 
 
+#: So many rows of a batch at once are Python's strings.
+SLICE = 256
+
+
 def each_string(config, change: Callable[[Column], Column]) -> Transform:
     """Map a function over a family: in place where output is the input, else added to the output."""
     source, target = config["field1"], config.get("output", config["field1"])
@@ -37,7 +41,8 @@ def normalize_utf8(config) -> Transform:
 
     @F.arrow_udf("array<string>")
     def normal(arrays: pa.Array) -> pa.Array:
-        return pa.array([None if a is None else [unicodedata.normalize(form, s) for s in a] for a in arrays.to_pylist()], pa.list_(pa.string()))
+        parts = [pa.array([None if a is None else [unicodedata.normalize(form, s) for s in a] for a in arrays.slice(i, SLICE).to_pylist()], pa.list_(pa.string())) for i in range(0, len(arrays), SLICE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
 
     return each_string(config, normal)
 

@@ -217,3 +217,16 @@ def test_sparse_rows_join_without_a_shuffle_by_feature(spark):
     rows = sparse_rows(long, index_features(long).cache(), spark.range(70).withColumn("label", F.lit(1.0)), ["id"])
     assert rows.where("size(indices) = 1 AND indices[0] = id % 3 AND values[0] = id").count() == 60 and rows.where("size(indices) = 0").count() == 10
     assert "BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_normal_forms_of_more_rows_than_a_slice(spark):
+    from pyspark.sql import functions as F
+
+    from tessella.features import FeatureSet
+    from tessella.transforms import build
+    from tessella.transforms.strings import SLICE
+
+    n = 2 * SLICE + 3
+    df = spark.range(n).coalesce(1).select("id", F.when(F.col("id") % 5 != 0, F.array(F.concat(F.lit("e\u0301"), "id"), F.lit("x"))).alias("s:n"))
+    out = build({"transform": "normalize_utf8", "field1": "n", "normalization_form": "NFC", "output": "o"})(FeatureSet(df)).df.collect()
+    assert {r["id"]: r["s:o"] for r in out} == {i: [f"\u00e9{i}", "x"] if i % 5 else None for i in range(n)}
