@@ -433,3 +433,19 @@ def test_feature_map_joins_without_a_shuffle_by_feature(spark):
     plan = spatial.feature_map(long, min_count=10)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert spatial.feature_map(long, min_count=10).first()["count"] == 500
+
+
+@pytest.mark.parametrize("loss", ["softmax", "hinge", "squared_hinge"])
+def test_full_rank_gradient_meets_once_an_example(spark, loss):
+    """Repeated and null ids, null values, names and labels, and labels that don't compete."""
+    draw = np.random.default_rng(1)
+    pick = lambda *x: x[draw.integers(len(x))]
+    long = spark.createDataFrame([(pick(None, *range(30)), pick("a", "b"), pick("x", "y", "z", None), pick(None, 1.0, -2.5, 0.25)) for _ in range(600)], "id int, family string, feature string, value double")
+    labels = spark.createDataFrame([(pick(None, *range(33)), pick("p", "q", "o", None)) for _ in range(90)], "id int, label string")
+    weights = spark.createDataFrame([("a", "x", "p", 1.0), ("a", "x", "p", 0.5), ("b", "y", "q", -0.3), ("a", "zz", "r", 2.0)], "family string, feature string, label string, weight double")
+    rows = lambda df: {(r["family"], r["feature"], r["label"]): r["g"] for r in df.collect()}
+    got = softmax.gradient_full_rank(long, weights, labels, ["id"], loss)
+    want = rows(softmax.gradient_by_joins(long.where("feature IS NOT NULL"), weights, labels, ["id"], loss))
+    assert rows(got) == pytest.approx(want) and len(want) == 18
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Window" not in plan and "Generate" not in plan
