@@ -22,8 +22,8 @@ def complete(scores: DataFrame, examples: DataFrame, ids: list[str]) -> DataFram
     return examples.select(*ids).join(scores, ids, "left").fillna(0.0)
 
 
-def contributions(long: DataFrame, weights: DataFrame, model_type: str) -> DataFrame:
-    """Columns of ``long`` and each feature's part of the score: the explanation."""
+def contributions(long: DataFrame, weights: DataFrame, model_type: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Columns of ``long``, those of ``weights`` to keep and each feature's part of the score: the explanation."""
     on = lookup(long, weights, KEY)
     if model_type == "linear":
         part = F.col("weight")
@@ -33,7 +33,7 @@ def contributions(long: DataFrame, weights: DataFrame, model_type: str) -> DataF
         part = F.when(F.col("value") >= F.col("threshold"), F.col("weight")).otherwise(0.0)
     else:
         raise ValueError(f"a {model_type!r} model isn't a sum over features")
-    return on.select(*long.columns, part.alias("part"))
+    return on.select(*long.columns, *keep, part.alias("part"))
 
 
 def score_sum(long: DataFrame, weights: DataFrame, ids: list[str], model_type: str) -> DataFrame:
@@ -53,9 +53,18 @@ def explain_families(long: DataFrame, weights: DataFrame, ids: list[str], model_
 
 def explanation_diff(a: DataFrame, b: DataFrame, ids: list[str]) -> DataFrame:
     """Two explanations side by side with the difference of their parts."""
-    left = a.groupBy(*ids, *KEY).agg(F.sum("part").alias("part_a"))
-    right = b.groupBy(*ids, *KEY).agg(F.sum("part").alias("part_b"))
-    both = left.join(right, [*ids, *KEY], "full").fillna(0.0, ["part_a", "part_b"])
+    return _side_by_side(a.withColumn("_first", F.lit(True)).unionByName(b.withColumn("_first", F.lit(False)), allowMissingColumns=True), ids)
+
+
+def models_diff(long: DataFrame, a: DataFrame, b: DataFrame, ids: list[str], model_type: str) -> DataFrame:
+    """``explanation_diff`` of one table by two models: one pass finds the parts of both, which meet before the shuffle."""
+    both = a.withColumn("_first", F.lit(True)).unionByName(b.withColumn("_first", F.lit(False)))
+    return _side_by_side(contributions(long, both, model_type, ["_first"]), ids)
+
+
+def _side_by_side(parts: DataFrame, ids: list[str]) -> DataFrame:
+    part = lambda mine, name: F.sum(F.when(mine, F.col("part"))).alias(name)
+    both = parts.groupBy(*ids, *KEY).agg(part(F.col("_first"), "part_a"), part(~F.col("_first"), "part_b")).fillna(0.0, ["part_a", "part_b"])
     return both.withColumn("diff", F.col("part_a") - F.col("part_b"))
 
 

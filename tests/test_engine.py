@@ -449,3 +449,14 @@ def test_full_rank_gradient_meets_once_an_example(spark, loss):
     assert rows(got) == pytest.approx(want) and len(want) == 18
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "Window" not in plan and "Generate" not in plan
+
+
+def test_models_diff_meets_before_the_shuffle(spark):
+    long = spark.createDataFrame([(i % 5, "a", "xyz"[i % 3], float(i)) for i in range(20)] + [(None, "a", "x", 1.0)], "id int, family string, feature string, value double")
+    a = spark.createDataFrame([("a", "x", 1.5), ("a", "y", None)], "family string, feature string, weight double")
+    b = spark.createDataFrame([("a", "x", 1.0), ("a", "z", 2.0), ("b", "x", 9.0)], "family string, feature string, weight double")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    got = scoring.models_diff(long, a, b, ["id"], "linear")
+    assert rows(got) == rows(scoring.explanation_diff(scoring.contributions(long, a, "linear"), scoring.contributions(long, b, "linear"), ["id"]))
+    assert (None, "a", "x", 1.5, 1.0, 0.5) in rows(got)  # a null id is one row, as in a GROUP BY
+    assert "FullOuter" not in got._jdf.queryExecution().optimizedPlan().toString()
