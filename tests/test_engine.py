@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.features import flatten, from_nested, ingest, split_name, to_nested
+from tessella.features import flatten, from_nested, ingest, packed, split_name, to_nested
 from tessella.models import functions, scoring, store
 from tessella.operators import evaluation, joins, sampling, statistics
 from tessella.plans import config, jobs
@@ -460,3 +460,18 @@ def test_models_diff_meets_before_the_shuffle(spark):
     assert rows(got) == rows(scoring.explanation_diff(scoring.contributions(long, a, "linear"), scoring.contributions(long, b, "linear"), ["id"]))
     assert (None, "a", "x", 1.5, 1.0, 0.5) in rows(got)  # a null id is one row, as in a GROUP BY
     assert "FullOuter" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_vectors_are_those_of_long_rows(spark, monkeypatch):
+    """Repeated and null ids, null values and unknown features; packed, long and joined alike."""
+    df = spark.createDataFrame([(1, 2.0, "p"), (1, 3.0, None), (None, 5.0, "q"), (2, None, "zz"), (3, None, None)], "id int, f_x double, s_RAW string")
+    fs = ingest(df, ["id"], bias=False)
+    rows = packed(fs, ["id"], skip=["MISS"])
+    names = spark.createDataFrame([("f", "x", 0, 1.0, 2.0), ("s", "p", 1, 0.0, 1.0), ("s", "q", 2, 0.0, 1.0)], "family string, feature string, index long, mean double, scale double")
+    found = lambda v: sorted(((r["id"], r["indices"], r["values"]) for r in v.collect()), key=repr)
+    got = statistics.vectorise(rows, names, ["id"])
+    want = [(1, [0, 0, 1], [2.0, 4.0, 1.0]), (None, [0, 2], [8.0, 1.0])]
+    assert found(got) == want and found(statistics.vectorise(flatten(fs, ["id"], skip=["MISS"]), names, ["id"])) == want
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(statistics, "BROADCAST_ROWS", 1)
+    assert found(statistics.vectorise(rows, names, ["id"])) == want
