@@ -475,3 +475,11 @@ def test_vectors_are_those_of_long_rows(spark, monkeypatch):
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(statistics, "BROADCAST_ROWS", 1)
     assert found(statistics.vectorise(rows, names, ["id"])) == want
+
+
+def test_quantiles_are_exact_for_any_number_of_values(spark):
+    values = [float(i * 7 % 1000) for i in range(1000)] + [3.0] * 130
+    rows = [("f", "x", v) for v in values] + [("f", "y", 1.0)] * 30 + [("f", "rare", 1.0)]
+    got = {r["feature"]: r["quantiles"] for r in statistics.exact_quantiles(spark.createDataFrame(rows, "family string, feature string, value double"), [0.1, 0.5, 0.9], 10).collect()}
+    at = lambda p: sorted(values)[math.ceil(len(values) * p / 10) - 1]
+    assert got == {"x": [at(1), at(5), at(9)], "y": [1.0, 1.0, 1.0]}
