@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.models.scoring import KEY, score_sum
+from tessella.operators.examples import long_of
 from tessella.operators.sampling import place
 
 
@@ -34,12 +35,14 @@ def softmax_policy(scores: DataFrame, state: list[str], action: str, temperature
 def sarsa_update(weights: DataFrame, taken: DataFrame, following: DataFrame, rewards: DataFrame, ids: list[str], learning_rate: float, discount: float) -> DataFrame:
     """The weights (family, feature, weight) of a linear value function after one batch of steps.
 
-    ``taken`` and ``following`` are the long features of the chosen and of the next state and action; a step that
+    ``taken`` and ``following`` are the long or packed features of the chosen and of the next state and action; a step that
     ``following`` lacks was the last. ``rewards`` is (ids, reward). A step moves the value of what was taken towards
-    the reward plus the discounted next value."""
-    value = lambda long, name: score_sum(long, weights, ids, "linear").withColumnRenamed("score", name)
+    the reward plus the discounted next value. Errors are added up by id and meet rows of ``taken`` before these are
+    unpacked."""
+    value = lambda rows, name: score_sum(long_of(rows, ids), weights, ids, "linear").withColumnRenamed("score", name)
     error = rewards.join(value(taken, "_now"), ids, "left").join(value(following, "_next"), ids, "left").fillna(0.0, ["_now", "_next"])
     error = error.select(*ids, (F.col("_now") - F.col("reward") - discount * F.col("_next")).alias("_error"))
-    step = taken.join(error, ids).groupBy(*KEY).agg((-learning_rate * F.sum("_error")).alias("_step"))
+    error = error.groupBy(*ids).agg(F.sum("_error").alias("_error"))
+    step = long_of(taken.join(error, ids), ["_error"]).groupBy(*KEY).agg((-learning_rate * F.sum("_error")).alias("_step"))
     both = weights.join(step, KEY, "full").fillna(0.0, ["weight", "_step"])
     return both.select(*KEY, (F.col("weight") + F.col("_step")).alias("weight"))

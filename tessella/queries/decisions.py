@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.features import difference, flatten, ingest
+from tessella.features import difference, flatten, ingest, packed
 from tessella.functions import scalar
 from tessella.models import policies
 from tessella.operators import strategy
 from tessella.queries.analysis import LONG, rounded
 from tessella.queries.base import LINE, query, table
-from tessella.queries.modelling import W_SQL, strings_only, weights
+from tessella.queries.modelling import W_SQL, string_features, weights
 
 OFFERS = """offer AS (SELECT o_custkey % 40 AS id, o_orderstatus = 'F' AS label, round(o_totalprice / 1000) AS prediction, o_orderkey % 300 + 1.0 AS observed_value,
   CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 250 + 2.0 END AS true_value FROM orders),
@@ -78,7 +78,7 @@ err AS (SELECT a.l_orderkey, a.l_linenumber, a.q - l.l_tax - 0.9 * coalesce(b.q,
 step AS (SELECT family, feature, -0.001 * sum(e) AS s FROM long JOIN err USING (l_orderkey, l_linenumber) WHERE family IN ('flag', 'status', 'BIAS') GROUP BY 1, 2)
 SELECT family, feature, round(coalesce(weight, 0) + coalesce(s, 0), 8) AS weight FROM w FULL JOIN step USING (family, feature)""")
 def sarsa_update(spark, sf_dir):
-    x = strings_only(spark, sf_dir)
+    x = packed(string_features(spark, sf_dir), LINE)
     following = x.withColumn("l_linenumber", F.col("l_linenumber") - 1)
     rewards = table(spark, sf_dir, "lineitem").select(*LINE, F.col("l_tax").alias("reward"))
     return rounded(policies.sarsa_update(weights(spark), x, following, rewards, LINE, 0.001, 0.9), "weight", digits=8)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.features import difference, flatten, ingest
+from tessella.features import difference, flatten, ingest, packed
 from tessella.functions import images
 from tessella.models import policies, store
 from tessella.operators import strategy
@@ -133,3 +133,13 @@ def test_smoothing_errors(spark):
     w = spark.createDataFrame([("f", "a", [0.0, 0.1, 0.4, 0.9, 1.6]), ("f", "b", [1.0, -1.0, 1.0, -1.0, 1.0, -1.0, 1.0, -1.0]), ("f", None, [1.0])], "family string, feature string, weights array<double>")
     got = {r["feature"]: r for r in store.with_smoothing_errors(w).collect()}
     assert set(got) == {"a", "b"} and got["a"]["smoothing_error"] < 0.05 < got["b"]["smoothing_error"] and got["b"]["smoothing_error_share"] == pytest.approx(got["b"]["smoothing_error"])
+
+
+def test_sarsa_of_packed_rows_with_repeated_ids(spark):
+    flat = spark.createDataFrame([(1, "p", 2.0), (1, "q", 3.0), (2, "p", 4.0), (None, "p", 5.0)], "i int, s_RAW string, f_x double")
+    fs, w = ingest(flat, ["i"], bias=False), spark.createDataFrame([("s", "p", 1.0), ("f", "x", 0.5)], "family string, feature string, weight double")
+    rewards = spark.createDataFrame([(1, 1.0), (1, 2.0), (2, None), (3, 1.0)], "i int, reward double")
+    rows = lambda x: {(r["family"], r["feature"]): round(r["weight"], 9) for r in policies.sarsa_update(w, x, x.where("i = 2"), rewards, ["i"], 0.1, 0.5).collect()}
+    error = (2.0 - 1.0) + (2.0 - 2.0)  # of id 1, worth 1 + 0.5 + 0.5, whose two rewards are two steps
+    want = {("s", "p"): round(1 - 0.1 * error, 9), ("s", "q"): round(-0.1 * error, 9), ("f", "x"): round(0.5 - 0.1 * 2 * error, 9)}
+    assert rows(packed(fs, ["i"], skip=["MISS"])) == want == rows(flatten(fs, ["i"], skip=["MISS"]))
